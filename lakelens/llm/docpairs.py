@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def trivial(doc: str | None, name: str, params: set[str] = frozenset()) -> bool:
 
 def comments_before(p, start: int, name: int) -> list[tuple[int, str]]:
     """Comment tokens between the node's predecessor and its name, with their offsets."""
-    kept, toks = p.kept(), p.toks
+    kept, toks = p.kept_once(), p.toks
     lo = next((kept[k] for k in range(start - 1, -1, -1) if kept[k] >= 0), -1)
     hi = kept[name]
     starts = p.positions()[0]
@@ -151,46 +152,55 @@ def documentation(ext: str, p, f) -> str | None:
     return clean_block(blocks[-1]) if blocks else None
 
 
-def _visitor():
-    def one(snapshot_id, repo_id, path, content):
-        ext = extension(path)
-        if ext == "json" or blank(ext, content):
-            return
-        p = parse(ext, content)
-        if p.errors or not p.funcs:
-            return
-        starts, ends = p.positions()
-        text = p.text
-        for f in sorted(p.funcs, key=lambda f: f.start):
-            doc = documentation(ext, p, f)
-            if doc is None:
-                continue
-            name = text[starts[f.name] : ends[f.name]]
-            head_end = ends[f.head - 1]
-            params = set(re.findall(r"[^\W\d]\w*", text[ends[f.name] : head_end]))
-            if trivial(doc, name, params):
-                continue
-            owner = text[starts[f.owner] : ends[f.owner]] if f.owner >= 0 else ""
-            first, last = starts[f.start], ends[f.end - 1]
-            k = f.end - 1
-            while k > f.head and not ends[k] > starts[k]:
-                k -= 1
-            last = ends[k]
-            yield (snapshot_id, repo_id, path, text.count("\n", 0, starts[f.name]) + 1, name, f"{owner}.{name}" if owner else name, f.kind,
-                   re.sub(r"\s+", " ", text[first:head_end]).strip(), doc.strip(), text[first:last].rstrip(), first, last)
-
-    return one
+def _visitor(with_text: bool):
+    def make():
+        def one(snapshot_id, repo_id, path, content):
+            ext = extension(path)
+            if ext == "json" or blank(ext, content):
+                return
+            p = parse(ext, content)
+            if p.errors or not p.funcs:
+                return
+            starts, ends = p.positions()
+            text = p.text
+            breaks = [m.start() for m in re.finditer("\n", text)]
+            for f in sorted(p.funcs, key=lambda f: f.start):
+                doc = documentation(ext, p, f)
+                if not doc:
+                    continue
+                name = text[starts[f.name] : ends[f.name]]
+                head_end = ends[f.head - 1]
+                if trivial(doc, name, set(re.findall(r"[^\W\d]\w*", text[ends[f.name] : head_end]))):
+                    continue
+                line = bisect_left(breaks, starts[f.name]) + 1
+                if not with_text:
+                    yield snapshot_id, line
+                    continue
+                owner = text[starts[f.owner] : ends[f.owner]] if f.owner >= 0 else ""
+                first, k = starts[f.start], f.end - 1
+                while k > f.head and not ends[k] > starts[k]:
+                    k -= 1
+                last = ends[k]
+                yield (snapshot_id, repo_id, path, line, name, f"{owner}.{name}" if owner else name, f.kind,
+                       re.sub(r"\s+", " ", text[first:head_end]).strip(), doc.strip(), text[first:last].rstrip(), first, last)
+
+        return one
+
+    return make
+
+
+def _source(files: DataFrame) -> DataFrame:
+    return files.where(known_extension() & F.col("content").isNotNull()).select("snapshot_id", "repo_id", "file_path", "content")
 
 
 def documented_functions(files: DataFrame) -> DataFrame:
     """One row per function or method with non-trivial documentation."""
-    src = files.where(known_extension() & F.col("content").isNotNull()).select("snapshot_id", "repo_id", "file_path", "content")
-    return map_rows(src, _visitor, PAIRS)
+    return map_rows(_source(files), _visitor(True), PAIRS)
 
 
 def documented_keys(files: DataFrame) -> DataFrame:
     """snapshot_id and line_no of the pairs, each once."""
-    return documented_functions(files).select("snapshot_id", "line_no").distinct()
+    return map_rows(_source(files), _visitor(False), "snapshot_id long, line_no long").distinct()
 
 
 __all__ = ["PARSERS", "documented_functions", "documented_keys", "trivial"]

@@ -60,6 +60,26 @@ class Func:
         return Func(self.start + by, self.name + by, self.head + by, self.end + by, self.doc + by if self.doc >= 0 else -1, self.kind, self.owner + by if self.owner >= 0 else -1)
 
 
+class Places:
+    """Offsets by class index, computed when asked for. Inserted tokens stand where the one before ended."""
+
+    __slots__ = ("toks", "kept", "ends", "first", "size")
+
+    def __init__(self, p: "Parser", kept: list[int], ends: list[int], first: bool):
+        self.toks, self.kept, self.ends, self.first, self.size = p.toks, kept, ends, first, len(p.text)
+
+    def __getitem__(self, at: int) -> int:
+        if at >= len(self.kept):
+            return self.size
+        k = self.kept[at]
+        if k >= 0:
+            return self.ends[k] - len(self.toks[k]) if self.first else self.ends[k]
+        while at and k < 0:
+            at -= 1
+            k = self.kept[at]
+        return self.ends[k] if k >= 0 else 0
+
+
 class Parser:
     classes: Classes
     pattern: re.Pattern
@@ -77,6 +97,7 @@ class Parser:
         self.i = 0
         self._pos = None
         self._match = None
+        self._kept_once = None
 
     def lex(self) -> None:
         self.codes = list(map(self.classes.__getitem__, self.toks))
@@ -86,24 +107,21 @@ class Parser:
     def kept(self) -> list[int]:
         return [k for k, c in enumerate(self.codes) if c]
 
-    def positions(self) -> tuple[list[int], list[int]]:
+    def kept_once(self) -> list[int]:
+        if self._kept_once is None:
+            self._kept_once = self.kept()
+        return self._kept_once
+
+    def positions(self) -> tuple["Places", "Places"]:
         """Start and end offsets in the text, by class index."""
         if self._pos is None:
             ends = list(accumulate(map(len, self.toks)))
-            kept = self.kept()
-            self._pos = ([ends[k] - len(self.toks[k]) if k >= 0 else None for k in kept], [ends[k] if k >= 0 else None for k in kept])
-            for own in self._pos:  # inserted tokens stand where the one before ended
-                last = 0
-                for n, v in enumerate(own):
-                    if v is None:
-                        own[n] = last
-                    last = self._pos[1][n] if self._pos[1][n] is not None else last
-                own += [len(self.text)] * 5
+            kept = self.kept_once()
+            self._pos = (Places(self, kept, ends, True), Places(self, kept, ends, False))
         return self._pos
 
     def line(self, at: int) -> int:
-        starts = self.positions()[0]
-        return self.text.count("\n", 0, starts[min(at, len(starts) - 1)]) + 1
+        return self.text.count("\n", 0, self.positions()[0][at]) + 1
 
     @property
     def match(self) -> dict[int, int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import docpairs, packing, splitting, syntax, tokens
+from . import docpairs, packing, secrets, splitting, syntax, tokens
 
 
 def table(spark, folder: str, name: str):
@@ -43,6 +43,22 @@ def p3_pairs(spark, d):
     return docpairs.documented_functions(table(spark, d, "source_files"))
 
 
+def _texts(spark, d):
+    return table(spark, d, "source_files"), table(spark, d, "finding_matches")
+
+
+def p4_found(spark, d):
+    return secrets.credential_lines(*_texts(spark, d))
+
+
+def p4_credentials(spark, d):
+    return secrets.credentials(*_texts(spark, d))
+
+
+def p4_redacted(spark, d):
+    return secrets.redacted(*_texts(spark, d))
+
+
 def p7_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
