@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import docpairs, packing, secrets, splitting, syntax, tokens
+from . import docpairs, packing, provenance, secrets, splitting, syntax, tokens
 
 
 def table(spark, folder: str, name: str):
@@ -59,6 +59,14 @@ def p4_redacted(spark, d):
     return secrets.redacted(*_texts(spark, d))
 
 
+def p5_found(spark, d):
+    return provenance.unwritten_files(table(spark, d, "source_files"))
+
+
+def p5_judged(spark, d):
+    return provenance.judged(table(spark, d, "source_files"))
+
+
 def p7_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 

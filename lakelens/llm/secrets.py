@@ -325,6 +325,10 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
 def joined(text: str, at: int, n: int) -> tuple[int, int, str, bool, int]:
     """A literal and the literals it is joined to: range of the first, the whole value, whether the text ends inside, and the end of the last."""
     m = LITERAL.match(text, at)
+    if m is None:  # a quote that its line does not close
+        end = text.find("\n", at)
+        end = n if end < 0 else end
+        return at + 1, end, text[at + 1 : end], end >= n, end
     q = text[at]
     closed = m.end() - m.start() > 1 and text[m.end() - 1] == q
     first = (at + 1, m.end() - 1 if closed else m.end())
