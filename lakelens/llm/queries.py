@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import docpairs, packing, provenance, secrets, splitting, syntax, tokens
+from . import docpairs, packing, provenance, qa_defects, secrets, splitting, syntax, tokens
 
 
 def table(spark, folder: str, name: str):
@@ -67,6 +67,10 @@ def p5_judged(spark, d):
     return provenance.judged(table(spark, d, "source_files"))
 
 
+def p6_found(spark, d):
+    return qa_defects.defects(table(spark, d, "qa_results"))
+
+
 def p7_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
