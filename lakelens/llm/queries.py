@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import docpairs, packing, provenance, qa_defects, secrets, splitting, syntax, tokens
+from . import docpairs, packing, provenance, qa_defects, secrets, sentences, splitting, syntax, tokens
 
 
 def table(spark, folder: str, name: str):
@@ -85,6 +85,14 @@ def p8_containers(spark, d):
     return packing.containers(table(spark, d, "documents"), container_capacity(spark, d))
 
 
+def p9_found(spark, d):
+    return sentences.sentence_places(table(spark, d, "documents"))
+
+
+def p9_sentences(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

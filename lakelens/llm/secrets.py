@@ -72,7 +72,7 @@ HINT = re.compile(
 
 
 #: A name where a value may follow, and the parts without which no shape can match.
-CANDIDATE = re.compile(r"[\w.À-ÿ-]++(?=[\"'\])]{0,3}[^\S\n]*(?:[:=,]|\?\?|\|\||[^\S\n][A-Za-z0-9]))")
+CANDIDATE = re.compile(r"[\w.À-ÿ-]++(?=[\"'\])]{0,3}[^\S\n]*(?:[:=,]|\?\?|\|\|))|--?[A-Za-z][\w-]*+(?=[ ]\S)")
 PARTS = ("AKIA", "ASIA", "gh", "github_pat_", "glpat-", "_live_", "_test_", "xox", "SG.", "npm_", "AIza", "pypi-", "hf_", "dop_v1_", "sk-", "ya29.", "eyJ", "earer ", "asic ", "Token ", "PRIVATE KEY", "://")
 
 
