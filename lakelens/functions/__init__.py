@@ -1,0 +1 @@
+"""Expression builders on columns; nothing here leaves the JVM."""

@@ -1,11 +1,42 @@
-"""All queries of the core, by name, with their SQL."""
+"""All queries of the core, by name, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def _load() -> None:
+    from . import answers, corpus, docs, events, findings, graph, parsing, relational, rules, search  # noqa: F401
+
 
 def queries():
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(_SQL)
