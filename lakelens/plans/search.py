@@ -1 +1,106 @@
-"""To come."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import search
+from .registry import query, quoted, table
+
+GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+def grams(t: str) -> str:
+    return GRAMS.replace("{t}", t).replace("{{", "{").replace("}}", "}")
+
+
+TRIGRAM = f"""
+q AS (SELECT qa_id AS query_id, g, len(g) AS nq FROM (SELECT qa_id, {grams('question')} AS g FROM qa_results WHERE qa_id % 100 = 0)),
+i AS (SELECT symbol_id AS item_id, g, len(g) AS ni FROM (SELECT symbol_id, {grams('symbol_name')} AS g FROM symbols)),
+qe AS (SELECT query_id, nq, unnest(g) AS gram FROM q), ie AS (SELECT item_id, ni, unnest(g) AS gram FROM i),
+sh AS (SELECT query_id, item_id, count(*) AS n, min(nq) AS nq, min(ni) AS ni FROM qe JOIN ie USING (gram) GROUP BY 1, 2),
+tri AS (SELECT query_id, item_id, n::DOUBLE / (nq + ni - n) AS score FROM sh WHERE n::DOUBLE / (nq + ni - n) >= 0.1)"""
+
+
+def questions(spark, d):
+    """Every row whose id is divisible by 100 is a query, against all rows."""
+    return table(spark, d, "qa_results").where("qa_id % 100 = 0").select(F.col("qa_id").alias("query_id"), F.col("question").alias("text"))
+
+
+def by_trigram(spark, d, k=10):
+    return search.trigram_search(questions(spark, d), table(spark, d, "symbols").select(F.col("symbol_id").alias("item_id"), F.col("symbol_name").alias("text")), 0.1, k)
+
+
+@query("v1_trigram", f"WITH {TRIGRAM} SELECT query_id, item_id, round(score, 6) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM tri) WHERE place <= 10")
+def trigram(spark, d):
+    return by_trigram(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query("v2_cosine", """
+WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM n),
+p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, CASE WHEN q.n * i.n = 0 THEN 0.0 ELSE list_sum(list_transform(list_zip(q.v, i.v), lambda z: z[1] * z[2])) / (q.n * i.n) END AS score FROM m q, m i WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM p)
+SELECT query_id, item_id, round(score, 6) AS score, place::INTEGER AS place FROM r WHERE place <= 10""")
+def cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.vector_search(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 6))
+
+
+@query("v4_similar_vectors", """
+WITH m AS (SELECT vec_id, label, embedding AS v FROM embeddings) SELECT label, count(*) AS vectors, round(avg(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS mean_norm FROM m GROUP BY 1""")
+def norms(spark, d):
+    from ..functions import similarity as S
+
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg(S.norm(F.col("embedding"))), 6).alias("mean_norm"))
+
+
+KEYWORD = """
+kq AS (SELECT qa_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda w: w <> '')) AS words FROM qa_results WHERE qa_id % 100 = 0 AND question IS NOT NULL),
+kt AS (SELECT DISTINCT source_row_id AS item_id, unnest(regexp_split_to_array(lower(concat_ws(' ', symbol_name, content)), '\\s+')) AS word FROM retrieved_sources),
+kp AS (SELECT DISTINCT query_id, item_id FROM (SELECT query_id, unnest(words) AS word FROM kq) JOIN kt USING (word)),
+kw AS (SELECT p.query_id, p.item_id, (len(list_filter(q.words, lambda w: contains(lower(coalesce(s.content, '')), w))) + CASE WHEN len(list_filter(q.words, lambda w: contains(lower(coalesce(s.symbol_name, '')), w))) > 0 THEN 2 ELSE 0 END)::DOUBLE / len(q.words) AS score
+ FROM kp p JOIN kq q USING (query_id) JOIN retrieved_sources s ON s.source_row_id = p.item_id)"""
+
+
+def by_keyword(spark, d, k=10):
+    items = table(spark, d, "retrieved_sources").select(F.col("source_row_id").alias("item_id"), F.col("symbol_name").alias("name"), F.col("content").alias("text"))
+    return search.keyword_search(questions(spark, d), items, k)
+
+
+@query("v3_keyword", f"WITH {KEYWORD} SELECT query_id, item_id, round(score, 6) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM kw WHERE score > 0) WHERE place <= 10")
+def keyword(spark, d):
+    return by_keyword(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query("v6_hybrid", f"""
+WITH {TRIGRAM}, {KEYWORD}, a AS (SELECT query_id, item_id, score, 0 AS list FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS p FROM tri) WHERE p <= 10),
+b AS (SELECT query_id, item_id, score, 1 AS list FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS p FROM kw WHERE score > 0) WHERE p <= 10),
+u AS (SELECT query_id, item_id, arg_min(score, list) AS score, min(list) AS list FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
+SELECT query_id, item_id, round(score, 6) AS score, list, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM u) WHERE place <= 15""")
+def hybrid(spark, d):
+    return search.hybrid(by_trigram(spark, d), by_keyword(spark, d)).withColumn("score", F.round("score", 6))
+
+
+FIND = r"""{"paths": "[\\w./\\\\-]+\\.(?:php|py|js|tsx|ts|jsx|java|go|rs|rb)"}"""
+
+
+def found(p: str) -> str:
+    return "regexp_extract_all(question, '" + p.replace("'", "''") + "')"
+
+
+PATHS, QUALIFIED = found(r"[\w./\\-]+\.(?:php|py|js|tsx|ts|jsx|java|go|rs|rb)"), found(r"\b[\w]+(?:(?:::|\.|\\)[\w]+)+\b")
+CAMEL, SNAKE = found(r"\b[a-z]+(?:[A-Z][a-z]+)+\b|\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"), found(r"\b\w+(?:_\w+)+\b")
+
+
+@query("f14_keywords", rf"""
+WITH q AS (SELECT qa_id, question, {PATHS} AS paths, {QUALIFIED} AS qual, {CAMEL} AS camel, {SNAKE} AS snake FROM qa_results WHERE question IS NOT NULL AND NOT regexp_matches(question, '[^\x00-\x7f]')),
+e AS (SELECT qa_id, paths || list_transform(paths, lambda x: regexp_extract(x, '([^/\\]*)\.[^.]*$', 1)) || qual || list_filter(flatten(list_transform(qual, lambda x: regexp_split_to_array(x, '::|\\|\.'))), lambda x: length(x) > 1)
+ || {found(r"__\w+__")} || {found(r"\b[A-Za-z]+\d+\w*\b|\b\d+[A-Za-z]+\w*\b")} || {found(r"\b[A-Z]{2,}\b")} || camel || list_filter(flatten(list_transform(camel, lambda x: regexp_extract_all(x, '[A-Z]?[a-z]+'))), lambda x: length(x) > 2)
+ || snake || list_filter(flatten(list_transform(snake, lambda x: string_split(x, '_'))), lambda x: length(x) > 2) || list_filter({found(r"\b[A-Za-z][A-Za-z0-9]*\b")}, lambda x: length(x) > 2) AS k FROM q),
+u AS (SELECT qa_id, unnest(list_distinct(list_filter(k, lambda x: x <> '' AND lower(x) NOT IN ({quoted(search.STOP)})))) AS k FROM e),
+r AS (SELECT qa_id, k, row_number() OVER (PARTITION BY qa_id ORDER BY -length(k), lower(k), k) AS place FROM u)
+SELECT qa_id, string_agg(k, ' | ' ORDER BY place) AS keywords FROM r WHERE place <= 10 GROUP BY 1""")
+def keywords(spark, d):
+    """Questions in plain ASCII, where both engines agree on what a word is."""
+    q = table(spark, d, "qa_results").where("question IS NOT NULL").where(~F.col("question").rlike(r"[^\x00-\x7f]"))
+    k = search.keywords(F.col("question"))
+    return q.select("qa_id", F.array_join(k, " | ").alias("keywords")).where("keywords <> ''")
