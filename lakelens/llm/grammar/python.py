@@ -59,11 +59,9 @@ class Python(Parser):
     def lex(self) -> None:
         codes = list(map(self.classes.__getitem__, self.toks))
         toks, out, kept = self.toks, [], []
-        depth, indents, fresh, last = 0, [0], True, NEWLINE
-        self.bad_dedent = False
+        depth, indents, fresh, last, width = 0, [0], True, NEWLINE, None
         add, keep = out.append, kept.append
         n = len(toks)
-        first = 0
         if n and toks[0][:1] in " \t\f﻿":  # indentation of the first line
             lead = toks[0].lstrip("﻿")
             k = 1
@@ -83,13 +81,11 @@ class Python(Parser):
                     add(NEWLINE)
                     keep(k)
                     last = NEWLINE
-                fresh = True
-                tail = toks[k]
-                width = tail
+                fresh, width = True, toks[k]
                 continue
             if fresh:
                 fresh = False
-                if out:
+                if width is not None:
                     w = width.rpartition("\n")[2].rpartition("\f")[2]
                     col = len(w.expandtabs(8)) if "\t" in w else len(w)
                     if col > indents[-1]:
@@ -123,8 +119,6 @@ class Python(Parser):
         self._kept = kept
         self.s = "".join(out)
 
-    width = ""
-
     def kept(self) -> list[int]:
         return self._kept
 
