@@ -37,7 +37,7 @@ SHAPES = re.compile(
     r"|(?P<scheme>(?:Bearer|Basic|bearer|basic|Token)[ ]+(?=[A-Za-z0-9+/_.=-]{8}))"
     r")"
     r"|(?P<pem>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"
-    r"|(?P<login>[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"<>`]*:)(?=[^\s/@'\"`]+@)"
+    r"|(?<![A-Za-z0-9+.-])(?P<login>[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"<>`]*:)(?=[^\s/@'\"`]+@)"
     r"|(?P<hook>https?://[^\s'\"/]*hooks?[^\s'\"/]*/[^\s'\"]*?(?:services|webhooks?|hooks?|workflows)/|https?://[^\s'\"/]+/api/webhooks/|https?://hooks?\.[^\s'\"/]+/)"
 )
 FULL = {"AKIA": 20, "ASIA": 20, "ghp_": 40, "gho_": 40, "ghu_": 40, "ghs_": 40, "ghr_": 40, "glpa": 26, "sk_l": 32, "rk_l": 32, "sk_t": 32, "rk_t": 32, "xoxb": 50, "xoxp": 50, "SG.": 60}
@@ -58,9 +58,9 @@ SPOKEN = re.compile(r"(?i)(?:\b|_)(?:your|replace|change[-_ ]?me|changeme|insert
 REFERENCE = re.compile(r"(?:vault|secretsmanager|ssm|sm|arn|op|gcp|aws|azure|kv|env|file|ref|secret|keyring|doppler)[:/]|process\.env|os\.environ|getenv|System\.|ENV\[|config[.\[(]|\$[A-Za-z_{(]", re.I)
 WORDS = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+|[0-9]+")
 LITERAL = re.compile(r"\"\"\"|'''|\"(?:[^\"\\\n]|\\.)*(?:\"|\Z)|'(?:[^'\\\n]|\\.)*(?:'|\Z)|`(?:[^`\\]|\\.)*(?:`|\Z)")
-IDENT = re.compile(r"[A-Za-z_À-ÿ][\w.À-ÿ-]*")
+IDENT = re.compile(r"(?<![\w.À-ÿ-])[A-Za-z_À-ÿ][\w.À-ÿ-]*")
 BARE = re.compile(r"^[\s#/;*>\-!]*(?:export\s+|set\s+|-\s+|ENV\s+|ARG\s+)?[\"']?(?P<key>[A-Za-z_À-ÿ][\w .À-ÿ-]{0,60}?)[\"']?\s*(?P<sep>:=|=>|=|:)[ \t]*(?P<value>[^\s\"'`][^\n]*?)?[ \t\r]*$")
-INLINE = re.compile(r"(?P<key>[A-Za-z_À-ÿ][\w.À-ÿ-]*)\s*[:=]\s*(?P<value>[^\s\"'`,;)(]+)")
+INLINE = re.compile(r"(?<![\w.À-ÿ-])(?P<key>[A-Za-z_À-ÿ][\w.À-ÿ-]*)\s*[:=]\s*(?P<value>[^\s\"'`,;)(]+)")
 ARGUMENT = re.compile(r"--?(?P<key>[A-Za-z][\w-]*)[= ](?P<value>[^\s\"'`]+)")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|;|--|<!--)")
 CONTINUED = re.compile(r"[ \t]*\)?[ \t]*(?:\+|\.|\\|&|\|\|)?[ \t]*\r?\n[ \t]*(?:\+|\.|&)?[ \t]*(?=[\"'`])|[ \t]*(?:\+|\.)[ \t]*(?=[\"'`])")
@@ -72,7 +72,7 @@ HINT = re.compile(
 
 
 #: A name where a value may follow, and the parts without which no shape can match.
-CANDIDATE = re.compile(r"[\w.À-ÿ-]++(?=[\"'\])]{0,3}[^\S\n]*(?:[:=,]|\?\?|\|\|))|--?[A-Za-z][\w-]*+(?=[ ]\S)")
+CANDIDATE = re.compile(r"(?<![\w.À-ÿ-])[\w.À-ÿ-]++(?=[\"'\])]{0,3}[^\S\n]*(?:[:=,]|\?\?|\|\|))|--?[A-Za-z][\w-]*+(?=[ ]\S)")
 PARTS = ("AKIA", "ASIA", "gh", "github_pat_", "glpat-", "_live_", "_test_", "xox", "SG.", "npm_", "AIza", "pypi-", "hf_", "dop_v1_", "sk-", "ya29.", "eyJ", "earer ", "asic ", "Token ", "PRIVATE KEY", "://")
 
 

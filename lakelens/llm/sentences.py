@@ -131,24 +131,33 @@ def pairs_of(events: list[tuple[int, str]], text: str, a: int, b: int) -> dict[i
     """Opening mark -> closing mark, both by offset; marks without a partner are left out."""
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}  # closing marks that are waited for, so that a stack without one is not searched
+
+    def cut(k: int) -> None:
+        for mark, _ in stack[k:]:
+            held[PAIRS.get(mark, mark)] -= 1
+        del stack[k:]
+
+    def push(mark: str, at: int) -> None:
+        stack.append((mark, at))
+        held[PAIRS.get(mark, mark)] = held.get(PAIRS.get(mark, mark), 0) + 1
+
     for at, e in events:
         if e == '"':
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), -1)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), -1) if held.get(e) else -1
             before = text[at - 1] if at > a else " "
             if k >= 0:
                 out[stack[k][1]] = at
-                del stack[k:]
+                cut(k)
             elif not before.isalnum() or ord(before) > 0x2E7F:
-                stack.append(('"', at))
+                push(e, at)
             continue
-        k = next((k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == e), -1)
+        k = next((k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == e), -1) if held.get(e) else -1
         if k >= 0 and not (e == "“" and stack[k][0] != "„"):
             out[stack[k][1]] = at
-            del stack[k:]
-        elif e == "“" and any(s == "„" for s, _ in stack):
-            continue
+            cut(k)
         elif e in PAIRS:
-            stack.append((e, at))
+            push(e, at)
     return out
 
 
@@ -351,8 +360,8 @@ def _thai_gap(text: str, at: int, nxt: int, start: int) -> bool:
 
 def is_lowered(text: str) -> bool:
     """Prose whose sentences all start in lower case: capitals say nothing there."""
-    prose = re.sub(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`|\S*[/_]\S*", " ", text)
-    return not any(c.isupper() for c in prose)
+    prose = re.sub(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`", " ", text)
+    return not any(c.isupper() for w in prose.split() if "/" not in w and "_" not in w for c in w)
 
 
 def sentences_of(text: str | None) -> list[tuple[int, int]]:
