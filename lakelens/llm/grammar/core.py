@@ -182,9 +182,9 @@ class Parser:
             for fn in got:
                 self.funcs.append(fn.moved(at))
             return
-        n, breaks = len(self.funcs), self.by_line_break
+        n, breaks, wrong = len(self.funcs), self.by_line_break, len(self.errors)
         f(*args)
-        if self.i == end + 1 and breaks == self.by_line_break:
+        if self.i == end + 1 and breaks == self.by_line_break and wrong == len(self.errors):
             if len(self.memo) > MEMO_LIMIT:
                 self.memo.clear()
             self.memo[key] = tuple(x.moved(-at) for x in self.funcs[n:])

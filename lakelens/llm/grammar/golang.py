@@ -336,7 +336,7 @@ class Go(Parser):
         c = self.s[self.i]
         if c == DEFINE or c in ASSIGN:
             self.i += 1
-            if self.s[self.i] == RANGE:
+            if self.s[self.i] == RANGE and self.level < 0:
                 return
             self.exprs()
         elif c in INCDEC:
@@ -389,7 +389,8 @@ class Go(Parser):
         if s[self.i] != "{":
             if s[self.i] != RANGE and s[self.i] != ";":
                 self.simple()
-            if self.take(RANGE):
+            if s[self.i] == RANGE and s[self.i - 1] in (K["for"], DEFINE, "="):
+                self.i += 1
                 self.expr()
             elif self.take(";"):
                 if s[self.i] != ";":

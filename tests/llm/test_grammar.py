@@ -59,3 +59,10 @@ def test_very_long():
 @pytest.mark.parametrize(("path", "ext"), [("a/b.PY", "py"), ("a.b/c", ""), (None, ""), ("x.", ""), (".env", "env")])
 def test_extension(path, ext):
     assert G.extension(path) == ext
+
+
+@pytest.mark.parametrize("ext", ["js", "ts", "php", "java", "go"])
+def test_errors_inside_are_never_remembered(ext):
+    """A statement that holds a broken one is found broken each time it is met."""
+    text = {"js": "f(function () { a = ; });", "ts": "f(function () { a = ; });", "php": "<?php f(function () { $a = ; });", "java": "class A { void g() { f(() -> { a = ; }); } }", "go": "package a\nfunc g() {\n\tf(func() { a = })\n}\n"}[ext]
+    assert [bool(G.parse(ext, text).errors) for _ in range(3)] == [True] * 3
