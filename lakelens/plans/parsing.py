@@ -78,3 +78,24 @@ def chunks(spark, d):
 @query("pl17_search_text", "SELECT symbol_id, concat_ws(' ', symbol_name, signature, docstring) AS search_text FROM symbols")
 def search_text(spark, d):
     return table(spark, d, "symbols").select("symbol_id", F.concat_ws(" ", "symbol_name", "signature", "docstring").alias("search_text"))
+
+
+@query("pl16_routes", """
+SELECT snapshot_id, method, '/api/v' || (snapshot_id % 3) || '/items' || tail AS uri, 'ItemController' AS controller, action, 'auth' AS middleware
+FROM source_files, (VALUES ('GET', '', 'index'), ('POST', '', 'store'), ('GET', '/{id}', 'show'), ('PUT', '/{id}', 'update'), ('DELETE', '/{id}', 'destroy')) v(method, tail, action) WHERE ends_with(file_path, '.php')""")
+def routes(spark, d):
+    """The tables hold no route files, so each PHP file declares a nested group with one resource behind its own text."""
+    from ..operators.routes import routes as found
+
+    tail = F.concat(F.lit("\nRoute::prefix('api')->middleware('auth')->group(function () { Route::group(['prefix' => 'v"), (F.col("snapshot_id") % 3).cast("string"), F.lit("'], function () { Route::apiResource('items', ItemController::class); }); });"))
+    f = table(spark, d, "source_files").where(F.col("file_path").endswith(".php")).withColumn("content", F.concat("content", tail))
+    return found(f).select("snapshot_id", "method", "uri", "controller", "action", F.array_join("middleware", ",").alias("middleware"))
+
+
+@query("sc15_context_json", """
+SELECT repo_id, to_json({classes: count(*) FILTER (symbol_type = 'class'), files: count(DISTINCT file_path), symbols: count(*)})::VARCHAR AS json FROM symbols GROUP BY 1""")
+def context_json(spark, d):
+    from ..sources.files import context_json as record
+
+    s = table(spark, d, "symbols").groupBy("repo_id").agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("file_path").alias("files"), F.count_if(F.col("symbol_type") == "class").alias("classes"))
+    return record(s, "repo_id")
