@@ -15,6 +15,7 @@ in sentences and each row once in sentence_places; texts are taken whole, whatev
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -75,10 +76,10 @@ class Trie(dict):
 
 
 ABBREVIATIONS = Trie()
-for _w in GO_ON.split():
-    ABBREVIATIONS.add(_w.rstrip("."), 1)
-for _w in MAY_END.split():
-    ABBREVIATIONS.add(_w.rstrip("."), 2)
+for _value, _list in ((1, GO_ON), (2, MAY_END)):
+    for _w in _list.split():
+        for _form in {_w.rstrip("."), unicodedata.normalize("NFD", _w.rstrip("."))}:
+            ABBREVIATIONS.add(_form, _value)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, str, int]]:
@@ -218,7 +219,7 @@ def stop_ends(text: str, a: int, at: int, end: int, nxt: int, b: int, lowered: b
             return False
         if letter.lower() in "tzdтdu" and re.match(r"[\w]\.", text[nxt : nxt + 2]):
             return False
-        if not _unit(text, a, k) and (letter.isupper() or lowered) and "A" <= letter.upper() <= "Z" and (c.isupper() or lowered):
+        if not _unit(text, a, k) and (letter.isupper() or lowered) and "A" <= letter.upper() <= "Z" and (c.isupper() or lowered or c in "<[" or not c.isprintable()):
             return False
     if text[k : k + 1].isdigit():
         m = re.search(r"(?:^|[\s(])(\d{1,2})\Z", text[max(a, at - 4) : at])
