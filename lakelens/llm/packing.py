@@ -4,7 +4,7 @@ Method: Karmarkar-Karp multiway differencing. The items are dealt into blocks of
 number of rows; in each block the two partial partitions with the largest imbalance are merged,
 the fullest windows of one with the emptiest of the other, until one partition with
 near-equal windows is left. The number of windows starts at what the total needs at least and
-rises whenever a window exceeds the capacity. Only keys and sizes are shuffled, once; rows are
+rises where items still exceed the capacity after the loosest fit. Only keys and sizes are shuffled, once; rows are
 dealt in turn, so a block stays bounded whatever values repeat.
 
 Defined cases: documents without a token (null, empty) take no part; a document over the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from .tokens import TOKENIZERS, token_sizes
 
 BLOCK = 4096
 SPAN = 1 << 20
+TRIES, RISES = 1000, 2
 PLACED = "container_id long, doc_id long, piece_no int, start_token long, n_tokens long"
 
 
@@ -77,16 +79,91 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item; sizes are between 1 and the capacity."""
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    k = max(1, math.ceil(sizes.sum() / capacity), int((sizes * 2 > capacity).sum()))
-    while True:
-        window, totals = differencing(sizes, k)
-        over = totals - capacity
-        if (over <= 0).all():
-            return window
-        k += max(1, int(over[over > 0].sum() // (capacity * 4)))
+    """Window of each item; sizes are between 1 and the capacity.
+
+    The windows start at the number that the total needs at least. Where one exceeds the capacity, items
+    are swapped with a window that has room; while that does not do, the number rises. After a few
+    rises (many large items) the smallest items that relieve it move into the room that others have left; what fits nowhere
+    makes the number rise and is differenced again among the new windows.
+    """
+    n = len(sizes)
+    window = np.full(n, -1, np.int64)
+    todo, used = np.arange(n), 0
+    while len(todo):
+        least = max(1, math.ceil(int(sizes[todo].sum()) / capacity))
+        for k in range(least, least + RISES):
+            own, totals = differencing(sizes[todo], k)
+            _swap(sizes[todo], own, totals, capacity)
+            if (totals <= capacity).all():
+                break
+        loose = _relieve(sizes[todo], own, totals, capacity)
+        room = sorted((capacity - int(t), w) for w, t in enumerate(totals))
+        left = []
+        for i in sorted(loose, key=lambda i: -int(sizes[todo[i]])):
+            at = bisect_left(room, (int(sizes[todo[i]]), -1))
+            if at == len(room):
+                left.append(i)
+                continue
+            free, w = room.pop(at)
+            own[i] = w
+            insort(room, (free - int(sizes[todo[i]]), w))
+        placed = np.ones(len(todo), bool)
+        placed[left] = False
+        window[todo[placed]] = own[placed] + used
+        used += k
+        if not placed.any():  # cannot happen while items fit the capacity; keeps the loop finite
+            raise ValueError("an item exceeds the capacity")
+        todo = todo[~placed]
+    return np.unique(window, return_inverse=True)[1] if n else window
+
+
+def _swap(sizes: np.ndarray, own: np.ndarray, totals: np.ndarray, capacity: int) -> None:
+    """Evens out windows over the capacity: an item goes to a window with room and a smaller one, or none, comes back."""
+    members: dict[int, list[int]] = {}
+    for i, w in enumerate(own.tolist()):
+        members.setdefault(w, []).append(i)
+    for w in sorted(np.flatnonzero(totals > capacity).tolist(), key=lambda w: (-int(totals[w]), w)):
+        excess = int(totals[w]) - capacity
+        mine = np.array([sizes[i] for i in members[w]])
+        spare = np.flatnonzero(totals <= capacity - excess)
+        for u in spare[np.argsort(totals[spare], kind="stable")][:TRIES].tolist():
+            theirs = np.array([0] + [sizes[i] for i in members.get(u, [])])
+            gain = mine[:, None] - theirs[None, :]
+            fit = (gain >= excess) & (gain <= capacity - int(totals[u]))
+            if not fit.any():
+                continue
+            a, b = divmod(int(np.where(fit, gain, np.iinfo(np.int64).max).argmin()), len(theirs))
+            moved = int(gain[a, b])
+            out = members[w][a]
+            if b:
+                back = members[u].pop(b - 1)
+                own[back] = w
+                members[w].append(back)
+            members[w].remove(out)
+            members.setdefault(u, []).append(out)
+            own[out] = u
+            totals[w] -= moved
+            totals[u] += moved
+            break
+
+
+def _relieve(sizes: np.ndarray, own: np.ndarray, totals: np.ndarray, capacity: int) -> list[int]:
+    """Items taken out of the windows over the capacity: the smallest one that suffices, else the largest again and again."""
+    loose: list[int] = []
+    members: dict[int, list[int]] = {}
+    over = set(np.flatnonzero(totals > capacity).tolist())
+    for i, w in enumerate(own.tolist()):
+        if w in over:
+            members.setdefault(w, []).append(i)
+    for w, inside in members.items():
+        inside.sort(key=lambda i: int(sizes[i]))
+        while totals[w] > capacity:
+            excess = int(totals[w]) - capacity
+            k = next((k for k, i in enumerate(inside) if sizes[i] >= excess), len(inside) - 1)
+            i = inside.pop(k)
+            loose.append(i)
+            totals[w] -= sizes[i]
+    return loose
 
 
 def containers(documents: DataFrame, capacity: int, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
