@@ -31,16 +31,18 @@ def keywords(text: Column, most: int = 10) -> Column:
 
 
 def trigram_search(queries: DataFrame, items: DataFrame, least: float = 0.3, k: int = 10) -> DataFrame:
-    """queries(query_id, text), items(item_id, text) -> the k most similar items of each query, by shared trigrams.
+    """queries(query_id, text), items(item_id, text) -> the k most similar texts of each query, by shared trigrams.
 
+    Items of the same text are one entry, named by their smallest id, with the number of its copies.
     An inverted index: both sides are exploded to trigrams and joined on them, so only pairs that
     share one meet; counts are aggregated before the shuffle on the pair.
     """
+    one = items.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies"))
     q = queries.select("query_id", S.trigrams(F.col("text")).alias("g")).select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    i = items.select("item_id", S.trigrams(F.col("text")).alias("g")).select("item_id", F.size("g").alias("ni"), F.explode("g").alias("gram"))
-    shared = q.join(i, "gram").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("nq").alias("nq"), F.min("ni").alias("ni"))
+    i = one.select("item_id", "copies", S.trigrams(F.col("text")).alias("g")).select("item_id", "copies", F.size("g").alias("ni"), F.explode("g").alias("gram"))
+    shared = q.join(i, "gram").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("nq").alias("nq"), F.min("ni").alias("ni"), F.min("copies").alias("copies"))
     score = F.col("n") / (F.col("nq") + F.col("ni") - F.col("n"))
-    return top(shared.withColumn("score", score).where(F.col("score") >= least).select("query_id", "item_id", "score"), k)
+    return top(shared.withColumn("score", score).where(F.col("score") >= least).select("query_id", "item_id", "score", "copies"), k)
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -64,14 +66,16 @@ def vector_search(queries: DataFrame, items: DataFrame, k: int = 10, parts: int
 def keyword_search(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """queries(query_id, text), items(item_id, name, text): words of the question found in the item, two more if the name holds one, over the number of words.
 
-    Items are found through the words they are made of; a word inside a longer one counts in items found that way.
+    Items are found through the words they are made of, frequent function words aside; all words count in the
+    score of an item found that way, a word inside a longer one, too. Items of the same name and text are one entry.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
     q = queries.select("query_id", words.alias("words")).where(F.size("words") > 0)
-    probes = q.select("query_id", "words", F.explode("words").alias("word"))
-    tokens = items.select("item_id", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "name", "text")), r"\s+"))).alias("word"))
+    probes = q.select("query_id", "words", F.explode("words").alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP))
+    one = items.groupBy("name", "text").agg(F.min("item_id").alias("item_id"))
+    tokens = one.select("item_id", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "name", "text")), r"\s+"))).alias("word"))
     pairs = probes.join(tokens, "word").select("query_id", "words", "item_id").distinct()
-    both = pairs.join(items.select("item_id", F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("text", F.lit(""))).alias("body")), "item_id")
+    both = pairs.join(one.select("item_id", F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("text", F.lit(""))).alias("body")), "item_id")
     found = F.size(F.filter("words", lambda w: F.col("body").contains(w)))
     bonus = F.when(F.exists("words", lambda w: F.col("name").contains(w)), 2).otherwise(0)
     return top(both.select("query_id", "item_id", ((found + bonus) / F.size("words")).alias("score")).where("score > 0"), k)

@@ -14,10 +14,11 @@ def grams(t: str) -> str:
 
 TRIGRAM = f"""
 q AS (SELECT qa_id AS query_id, g, len(g) AS nq FROM (SELECT qa_id, {grams('question')} AS g FROM qa_results WHERE qa_id % 100 = 0)),
-i AS (SELECT symbol_id AS item_id, g, len(g) AS ni FROM (SELECT symbol_id, {grams('symbol_name')} AS g FROM symbols)),
-qe AS (SELECT query_id, nq, unnest(g) AS gram FROM q), ie AS (SELECT item_id, ni, unnest(g) AS gram FROM i),
-sh AS (SELECT query_id, item_id, count(*) AS n, min(nq) AS nq, min(ni) AS ni FROM qe JOIN ie USING (gram) GROUP BY 1, 2),
-tri AS (SELECT query_id, item_id, n::DOUBLE / (nq + ni - n) AS score FROM sh WHERE n::DOUBLE / (nq + ni - n) >= 0.1)"""
+o AS (SELECT symbol_name, min(symbol_id) AS symbol_id, count(*) AS copies FROM symbols WHERE symbol_name IS NOT NULL GROUP BY 1),
+i AS (SELECT symbol_id AS item_id, copies, g, len(g) AS ni FROM (SELECT symbol_id, copies, {grams('symbol_name')} AS g FROM o)),
+qe AS (SELECT query_id, nq, unnest(g) AS gram FROM q), ie AS (SELECT item_id, copies, ni, unnest(g) AS gram FROM i),
+sh AS (SELECT query_id, item_id, count(*) AS n, min(nq) AS nq, min(ni) AS ni, min(copies) AS copies FROM qe JOIN ie USING (gram) GROUP BY 1, 2),
+tri AS (SELECT query_id, item_id, copies, n::DOUBLE / (nq + ni - n) AS score FROM sh WHERE n::DOUBLE / (nq + ni - n) >= 0.1)"""
 
 
 def questions(spark, d):
@@ -29,7 +30,7 @@ def by_trigram(spark, d, k=10):
     return search.trigram_search(questions(spark, d), table(spark, d, "symbols").select(F.col("symbol_id").alias("item_id"), F.col("symbol_name").alias("text")), 0.1, k)
 
 
-@query("v1_trigram", f"WITH {TRIGRAM} SELECT query_id, item_id, round(score, 6) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM tri) WHERE place <= 10")
+@query("v1_trigram", f"WITH {TRIGRAM} SELECT query_id, item_id, round(score, 6) AS score, copies, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM tri) WHERE place <= 10")
 def trigram(spark, d):
     return by_trigram(spark, d).withColumn("score", F.round("score", 6))
 
@@ -55,10 +56,11 @@ def norms(spark, d):
 
 KEYWORD = """
 kq AS (SELECT qa_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda w: w <> '')) AS words FROM qa_results WHERE qa_id % 100 = 0 AND question IS NOT NULL),
-kt AS (SELECT DISTINCT source_row_id AS item_id, unnest(regexp_split_to_array(lower(concat_ws(' ', symbol_name, content)), '\\s+')) AS word FROM retrieved_sources),
-kp AS (SELECT DISTINCT query_id, item_id FROM (SELECT query_id, unnest(words) AS word FROM kq) JOIN kt USING (word)),
+ko AS (SELECT min(source_row_id) AS source_row_id, symbol_name, content FROM retrieved_sources GROUP BY ALL),
+kt AS (SELECT DISTINCT source_row_id AS item_id, unnest(regexp_split_to_array(lower(concat_ws(' ', symbol_name, content)), '\\s+')) AS word FROM ko),
+kp AS (SELECT DISTINCT query_id, item_id FROM (SELECT query_id, unnest(words) AS word FROM kq) JOIN kt USING (word) WHERE length(word) > 2 AND word NOT IN (STOPWORDS)),
 kw AS (SELECT p.query_id, p.item_id, (len(list_filter(q.words, lambda w: contains(lower(coalesce(s.content, '')), w))) + CASE WHEN len(list_filter(q.words, lambda w: contains(lower(coalesce(s.symbol_name, '')), w))) > 0 THEN 2 ELSE 0 END)::DOUBLE / len(q.words) AS score
- FROM kp p JOIN kq q USING (query_id) JOIN retrieved_sources s ON s.source_row_id = p.item_id)"""
+ FROM kp p JOIN kq q USING (query_id) JOIN ko s ON s.source_row_id = p.item_id)""".replace("STOPWORDS", quoted(search.STOP))
 
 
 def by_keyword(spark, d, k=10):
