@@ -52,7 +52,7 @@ def repaired(raw: Column) -> Column:
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     outer = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
     mended = F.regexp_replace(outer, r",\s*([}\]])", "$1")
-    tries = [F.from_json(t, SECTIONS, {"mode": "FAILFAST"}) if False else F.from_json(t, SECTIONS) for t in (raw, fenced, outer, mended)]
+    tries = [F.from_json(t, SECTIONS) for t in (raw, fenced, outer, mended)]
     return F.coalesce(*[F.when(t["sections"].isNotNull(), t) for t in tries])
 
 

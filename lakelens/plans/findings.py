@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import findings, rules
+from ..operators import findings
 from .registry import query, table
 
 M = "(SELECT DISTINCT match_id, rule_id, category, title, severity, confidence, file_path, repo_id, snapshot_id, start_line, end_line, symbol, evidence, tags FROM finding_matches)"
@@ -161,5 +161,3 @@ def review_body(spark, d):
     b = g.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"), F.max((F.col("severity") == "critical").cast("int")).alias("c"))
     return b.select("repo_id", "body", F.when(F.col("c") == 1, "REQUEST_CHANGES").otherwise("COMMENT").alias("event"))
 
-
-__all__ = ["rules"]

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .registry import query, quoted, table
+from .registry import query, table
 
 EDGES = r"""own AS (SELECT * FROM symbols WHERE symbol_type IN ('function', 'method')),
 def AS (SELECT repo_id, symbol_name, min(qualified_name) AS callee FROM own GROUP BY 1, 2),
@@ -75,7 +75,7 @@ i AS (SELECT snapshot_id, repo_id, file_path, line_no, CASE WHEN ends_with(file_
 imp AS (SELECT * FROM i WHERE module <> '')"""
 
 
-@query("p3_imports".replace("p3_", "pl3_"), f"WITH {IMPORTS} SELECT * FROM imp")
+@query("pl3_imports", f"WITH {IMPORTS} SELECT * FROM imp")
 def imports(spark, d):
     return graph.imports(table(spark, d, "source_files"))
 
@@ -146,5 +146,3 @@ def resolved_calls(spark, d):
     n = own.select("repo_id", F.col("qualified_name").alias("caller"), "symbol_name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(graph.CALL), F.lit(1)))).alias("callee_name")).where("callee_name <> symbol_name").select("repo_id", "caller", "callee_name").distinct()
     return n.join(defined, ["repo_id", "callee_name"], "left").select("repo_id", "caller", "callee_name", F.coalesce("callee", "callee_name").alias("callee"), F.col("callee").isNotNull().alias("is_resolved"))
 
-
-__all__ = ["quoted"]

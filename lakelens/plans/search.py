@@ -82,9 +82,6 @@ def hybrid(spark, d):
     return search.hybrid(by_trigram(spark, d), by_keyword(spark, d)).withColumn("score", F.round("score", 6))
 
 
-FIND = r"""{"paths": "[\\w./\\\\-]+\\.(?:php|py|js|tsx|ts|jsx|java|go|rs|rb)"}"""
-
-
 def found(p: str) -> str:
     return "regexp_extract_all(question, '" + p.replace("'", "''") + "')"
 
