@@ -54,7 +54,6 @@ MODS = "".join(K[w] for w in words("public private protected static readonly ove
 ARROW, DOTS, QDOT = K["=>"], K["..."], K["?."]
 FUNCTION, CLASS, NEW, ASYNC, IN, OF, AS, SAT = (K[w] for w in words("function class new async in of as satisfies"))
 INCDEC = K["++"] + K["--"]
-HOLE = re.compile(r"[\"`']")
 
 
 class Ecma(Parser):

@@ -32,7 +32,6 @@ class Json(Parser):
     sync = ","
 
     def program(self) -> None:
-        at = self.i
         try:
             self.value()
             if self.s[self.i] != EOF:
@@ -42,7 +41,6 @@ class Json(Parser):
                 raise
             self.errors.append((e.at, e.what))
             self.i = len(self.s) - 1
-        _ = at
 
     def value(self) -> None:
         s = self.s

@@ -46,7 +46,6 @@ SENSITIVE = set("password passwd pwd pass passphrase passcode passwort kennwort
 PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("master", "key"), ("account", "key"), ("auth", "key"), ("stripe", "key"), ("mail", "key"), ("deploy", "key"), ("service", "key"), ("client", "key"), ("ssh", "key"), ("license", "key"), ("storage", "key"), ("de", "passe"), ("app", "key"), ("hmac", "key"), ("session", "key"), ("webhook", "key"), ("shared", "key")}
 # fixed values: words that turn such a key into something about a credential
 ABOUT = set("hint label field name names ref reference type count policy length size url uri path file filename public placeholder pattern regex re prompt title text message description help env var variable key_name min max ttl expiry expires expire lifetime enabled required rotation version id index column header_name param parameter checksum hash sha digest fingerprint limit quota budget page class method mode format status state kind scope scopes issuer audience provider algorithm alg store manager service handler factory util utils test".split())
-HIDDEN_ABOUT = {"id"}
 WRAPPERS = set("value val default current data raw plain plaintext content text literal string secret_value".split())
 TYPES = set("string str String null None const let var final static private public protected export readonly char number any undefined new f r b u rb or and is as byte bytes Optional Union self this".split())
 MASKED = re.compile(r"\*{3,}|x{6,}|X{6,}|•{3,}|\.{4,}|#{4,}|<[^<>]*>|\[(?:REDACTED|MASKED|FILTERED|REMOVED|HIDDEN|SECRET)[^\]]*\]|\{\{|\$\{|\$\(|%\(|%[A-Z_]+%|redacted|masked", re.I)
