@@ -6,6 +6,8 @@ they stand under, across lines and through wrapping keys such as `value`; a cred
 value whose shape fits a sensitive key, or a value of a shape that is a credential anywhere
 (provider prefixes, signed tokens, private keys, logins in URLs, secret hook URLs). Redactions
 are spliced into the original text by offset, so everything around a value stays as it is.
+A value is masked whole: literals joined to one value are one range with the code that joins
+them (a literal in other quotes starts a further range), a key without an END line ends with its text.
 One map over the rows without a shuffle; only found keys are made distinct.
 
 Defined cases: null and empty texts give nothing; a null evidence gives nothing for evidence;
@@ -63,6 +65,10 @@ INLINE = re.compile(r"(?<![\w.À-ÿ-])(?P<key>[A-Za-z_À-ÿ][\w.À-ÿ-]*)\s*[:=]
 ARGUMENT = re.compile(r"--?(?P<key>[A-Za-z][\w-]*)[= ](?P<value>[^\s\"'`]+)")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|;|--|<!--)")
 CONTINUED = re.compile(r"[ \t]*\)?[ \t]*(?:\+|\.|\\|&|\|\|)?[ \t]*\r?\n[ \t]*(?:\+|\.|&)?[ \t]*(?=[\"'`])|[ \t]*(?:\+|\.)[ \t]*(?=[\"'`])")
+BEARER, HOOKED, TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]*"), re.compile(r"[^\s'\"`<>)\\]*"), re.compile(r"[A-Za-z0-9_.-]*")
+#: A line of a key: what stands around it in code, its text or a header, and what does not belong to a key.
+KEY_LINE = re.compile(r"(?:[\s\"'.,`|>#*();&+]|\\[nrt\n]|//|/\*)*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):(?:(?!\\n)[^\n])*|(?P<core>[A-Za-z0-9+/=]+)(?=\s*(?:\\[nrt\r\n]|[\"'`]|[ \t]*(?:\*/|-->)?\s*(?:\n|\Z)))|(?P<other>\S))")
+END_MARK = re.compile(r"-----END(?:[^\n-]*-----)?")
 CONFIG = {"env", "yaml", "yml", "ini", "cfg", "conf", "toml", "properties", "sh", "md", "txt", ""}
 HINT = re.compile(
     r"pass|pwd|secre|token|bearer|api.?key|key|cred|auth|private|jwt|dsn|pat\b|session|cookie|senha|contrase|clave|kennwort|parola|AKIA|ASIA|gh[pousr]_|glpat|_live_|_test_|xox|SG\.|eyJ|://|Basic |salt|signature",
@@ -145,10 +151,76 @@ def credential_shape(v: str, key: str, cut_off: bool = False) -> bool:
 
 
 class Hit:
-    __slots__ = ("start", "end", "kind", "path")
+    """start and end are those of the first range; `more` has the ranges of literals in other quotes."""
 
-    def __init__(self, start: int, end: int, kind: str, path: str):
-        self.start, self.end, self.kind, self.path = start, end, kind, path
+    __slots__ = ("start", "end", "kind", "path", "more")
+
+    def __init__(self, start: int, end: int, kind: str, path: str, more: tuple[tuple[int, int], ...] = ()):
+        self.start, self.end, self.kind, self.path, self.more = start, end, kind, path, more
+
+    @property
+    def ranges(self) -> list[tuple[int, int]]:
+        return [(self.start, self.end), *self.more]
+
+
+def following(text: str, end: int) -> Iterator[tuple[int, int, bool]]:
+    """Inner ranges of the literals joined to the one that ends at `end`, and whether each is closed."""
+    while c := CONTINUED.match(text, end):
+        nxt = LITERAL.match(text, c.end())
+        if not nxt or nxt.group() in ('"""', "'''") or text[nxt.end() : nxt.end() + 1] == ":":
+            return
+        if text[c.end()] == "`" and not c.group().strip(" \t\r\n)"):  # a fence or another statement: these need an operator
+            return
+        end = nxt.end()
+        closed = end - nxt.start() > 1 and text[end - 1] == text[nxt.start()]
+        if end - nxt.start() > 2 or not closed:
+            yield nxt.start() + 1, end - 1 if closed else end, closed
+        if not closed:
+            return
+
+
+def spread(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of joined literals, neighbours in the same quotes made one."""
+    out = ranges[:1]
+    for a, b in ranges[1:]:
+        if text[a - 1] == text[out[-1][1]]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
+def whole(text: str, start: int, end: int, kind: str, chars: re.Pattern) -> Hit:
+    """A token with what it goes on with in literals joined to its own."""
+    ranges = [(start, end)]
+    if text[end : end + 1] in ("\"", "'", "`"):
+        for a, b, _ in following(text, end + 1):
+            stop = chars.match(text, a, b).end()
+            if stop > a:
+                ranges.append((a, stop))
+            if stop < b:
+                break
+    return Hit(*spread(text, ranges)[0], kind, "", tuple(spread(text, ranges)[1:]))
+
+
+def key_end(text: str, at: int) -> int:
+    """End of the key whose BEGIN mark ends at `at`: behind its END mark, or behind the last line of its text."""
+    close, again = text.find("-----END", at), text.find("-----BEGIN", at)
+    stop = len(text) if close < 0 else close
+    if 0 <= close < at + 20_000 and not 0 <= again < close:
+        return END_MARK.match(text, close).end()
+    last, width = at, 0
+    for m in KEY_LINE.finditer(text, at, stop):
+        core = m["core"]
+        if not core:
+            if m["other"]:
+                return last
+            continue
+        ends = m.end("core") >= len(text) - 1 or m.end("core") == stop
+        if not (len(core) == width or len(core) >= 32 or ends or core.endswith("=") or re.search(r"\d", core) and re.search("[A-Za-z]", core)):
+            return last
+        last, width = m.end("core"), width or len(core)
+    return END_MARK.match(text, close).end() if close >= 0 and not 0 <= again < close else last
 
 
 def shape_hits(text: str) -> Iterator[Hit]:
@@ -158,17 +230,15 @@ def shape_hits(text: str) -> Iterator[Hit]:
         kind, at, end = m.lastgroup, m.start(), m.end()
         if kind == "pem":
             rest = text[end : end + 400]
-            close = text.find("-----END", end)
             body = re.sub(r"\\[nr]|[\s\"'+.,\\`|>#/*()]+|(?:Proc-Type|DEK-Info):[^\n]*", "", rest)
             if rest.strip(" \r\n\t\\\"'`;,)") == "" and end + len(rest) >= n:
                 yield Hit(at, end, kind, "")
             elif not MASKED.match(body) and re.match(r"[A-Za-z0-9+/=]{8,}", body):
-                stop = close + text[close:].find("-----", 8) + 5 if 0 <= close < end + 20_000 else end
-                yield Hit(at, stop if stop > end else end, kind, "")
+                yield Hit(at, key_end(text, end), kind, "")
             elif len(body) < 8 and end + len(rest) >= n and re.fullmatch(r"[A-Za-z0-9+/=]+", body):
                 yield Hit(at, n, kind, "")
         elif kind == "scheme":
-            v = re.match(r"[A-Za-z0-9+/_.=~-]+", text[end : end + 4096]).group()
+            v = BEARER.match(text, end).group()
             if m.group().strip().lower() == "basic":
                 try:
                     ok = b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
@@ -178,17 +248,17 @@ def shape_hits(text: str) -> Iterator[Hit]:
             else:
                 ok = len(v) >= 16 and bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v))
             if ok and not no_secret(v):
-                yield Hit(end, end + len(v), "header", "")
+                yield whole(text, end, end + len(v), "header", BEARER)
         elif kind == "login":
             v = text[end : text.index("@", end)]
             if not no_secret(v) and not re.fullmatch(r"[A-Z_]+|\d+|\{\w+\}|:\w+|%s", v) and not v.startswith("$") and "{" not in v:
                 yield Hit(end, end + len(v), "login", "")
         elif kind == "hook":
-            v = re.match(r"[^\s'\"`<>)\\]*", text[end : end + 500]).group()
+            v = HOOKED.match(text, end).group()
             parts = [x for x in v.split("/") if x]
             last = parts[-1] if parts else ""
             if len(last) >= 16 and re.search(r"\d", last) and not MASKED.search(v) or end + len(v) >= n and len(parts) > 1 and not MASKED.search(v):
-                yield Hit(end, end + len(v), "hook", "")
+                yield whole(text, end, end + len(v), "hook", HOOKED)
         else:
             v = m.group()
             tail = text[end : end + 2]
@@ -202,7 +272,7 @@ def shape_hits(text: str) -> Iterator[Hit]:
                 continue
             if kind == "aws" and len(v) > 20:
                 continue
-            yield Hit(at, end, kind, "")
+            yield whole(text, at, end, kind, TOKEN) if partial or not full else Hit(at, end, kind, "")
 
 
 def indent(line: str) -> int:
@@ -235,11 +305,11 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
                 got = joined(text, start + literals[0].start(), n)
             elif not literals:
                 v = body.strip()
-                got = (start + depth, start + depth + len(v), v, start + depth + len(v) >= n, 0)
+                got = ([(start + depth, start + depth + len(v))], v, start + depth + len(v) >= n, 0)
             if got:
-                done = max(done, got[4])
-            if got and credential_shape(got[2], waiting, got[3]):
-                yield Hit(got[0], got[1], "keyed", waiting)
+                done = max(done, got[3])
+            if got and credential_shape(got[1], waiting, got[2]):
+                yield Hit(*got[0][0], "keyed", waiting, tuple(got[0][1:]))
             waiting = ""
             if got:
                 continue
@@ -274,9 +344,9 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
                 continue  # the literal is itself a key
             if not re.search(r"[=:,(\[{|?>]\s*[\w]{0,2}$|(?:or|else|return)\s*$", before.rstrip() + " ") and before.strip():
                 continue
-            a, b, v, cut_off, done = joined(text, start + m.start(), n)
+            ranges, v, cut_off, done = joined(text, start + m.start(), n)
             if credential_shape(v, key, cut_off):
-                yield Hit(a, b, "keyed", key)
+                yield Hit(*ranges[0], "keyed", key, tuple(ranges[1:]))
         if not literals or comment or config:
             m = BARE.match(line) if config or comment else None
             if m:
@@ -321,27 +391,21 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
                     open_keys.append((depth, ids[-1]))
 
 
-def joined(text: str, at: int, n: int) -> tuple[int, int, str, bool, int]:
-    """A literal and the literals it is joined to: range of the first, the whole value, whether the text ends inside, and the end of the last."""
+def joined(text: str, at: int, n: int) -> tuple[list[tuple[int, int]], str, bool, int]:
+    """A literal and the literals it is joined to: their ranges, the whole value, whether the text ends inside, and the end of the last."""
     m = LITERAL.match(text, at)
     if m is None:  # a quote that its line does not close
         end = text.find("\n", at)
         end = n if end < 0 else end
-        return at + 1, end, text[at + 1 : end], end >= n, end
-    q = text[at]
-    closed = m.end() - m.start() > 1 and text[m.end() - 1] == q
-    first = (at + 1, m.end() - 1 if closed else m.end())
-    v, end, more = text[first[0] : first[1]], m.end(), 0
-    while closed and more < 20:
-        c = CONTINUED.match(text, end)
-        if not c:
-            break
-        nxt = LITERAL.match(text, c.end())
-        if not nxt or nxt.group() in ('"""', "'''") or text[nxt.end() : nxt.end() + 1] in (":",):
-            break
-        v += nxt.group()[1:-1]
-        end, more = nxt.end(), more + 1
-    return first[0], first[1], v, not closed or bool(re.match(r"\s*[+.\\]?\s*\Z", text[end : end + 6])) and text[end : end + 1] not in (";", ",", ")"), end
+        return [(at + 1, end)], text[at + 1 : end], end >= n, end
+    closed, end = m.end() - m.start() > 1 and text[m.end() - 1] == text[at], m.end()
+    ranges = [(at + 1, end - 1 if closed else end)]
+    if closed:
+        for a, b, closed in following(text, end):
+            ranges.append((a, b))
+            end = b + closed
+    cut_off = not closed or bool(re.match(r"\s*[+.\\]?\s*\Z", text[end : end + 6])) and text[end : end + 1] not in (";", ",", ")")
+    return spread(text, ranges), "".join(text[a:b] for a, b in ranges), cut_off, end
 
 
 def find_credentials(text: str | None, ext: str = "") -> list[Hit]:
@@ -353,7 +417,14 @@ def find_credentials(text: str | None, ext: str = "") -> list[Hit]:
     hits = sorted([*shaped, *keyed], key=lambda h: (h.start, -h.end))
     out: list[Hit] = []
     for h in hits:
-        if out and h.start < out[-1].end:
+        if out and any(a <= h.start < b for a, b in out[-1].ranges):
+            ranges = out[-1].ranges
+            for a, b in h.ranges:
+                if a < ranges[-1][1]:
+                    ranges[-1] = ranges[-1][0], max(b, ranges[-1][1])
+                else:
+                    ranges.append((a, b))
+            out[-1] = Hit(*ranges[0], out[-1].kind, out[-1].path, tuple(ranges[1:]))
             continue
         out.append(h)
     return out
@@ -365,16 +436,18 @@ def redact(text: str | None, ext: str = "") -> str | None:
     if not hits:
         return text
     parts, at = [], 0
-    for h in hits:
-        parts += [text[at : h.start], MASK]
-        at = h.end
+    for a, b in (r for h in hits for r in h.ranges):
+        parts += [text[at:a], MASK]
+        at = b
     return "".join([*parts, text[at:]])
 
 
 def _finder():
     def one(origin, record_id, path, text):
         for h in find_credentials(text, extension(path)):
-            yield origin, record_id, text.count("\n", 0, h.start) + 1, h.kind, h.path, h.start, h.end
+            line = text.count("\n", 0, h.start) + 1
+            for a, b in h.ranges:
+                yield origin, record_id, line, h.kind, h.path, a, b
 
     return one
 
@@ -398,7 +471,7 @@ def texts(files: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def credentials(files: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every credential with its place and key."""
+    """Every credential with its place and key; one row for each of its ranges, with the line of the first."""
     return map_rows(texts(files, matches), _finder, FOUND)
 
 
