@@ -70,14 +70,18 @@ BEARER, HOOKED, TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]*"), re.compile(r"[^\s'\"
 KEY_LINE = re.compile(r"(?:[\s\"'.,`|>#*();&+]|\\[nrt\n]|//|/\*)*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):(?:(?!\\n)[^\n])*|(?P<core>[A-Za-z0-9+/=]+)(?=\s*(?:\\[nrt\r\n]|[\"'`]|[ \t]*(?:\*/|-->)?\s*(?:\n|\Z)))|(?P<other>\S))")
 END_MARK = re.compile(r"-----END(?:[^\n-]*-----)?")
 CONFIG = {"env", "yaml", "yml", "ini", "cfg", "conf", "toml", "properties", "sh", "md", "txt", ""}
+# fixed values: what makes a line worth a look, in lower case
 HINT = re.compile(
-    r"pass|pwd|secre|token|bearer|api.?key|key|cred|auth|private|jwt|dsn|pat\b|session|cookie|senha|contrase|clave|kennwort|parola|AKIA|ASIA|gh[pousr]_|glpat|_live_|_test_|xox|SG\.|eyJ|://|Basic |salt|signature",
-    re.I,
+    r"pass|pwd|secre|token|bearer|api.?key|key|cred|auth|private|jwt|dsn|pat\b|session|cookie|senha|contrase|clave|kennwort|parola|akia|asia|gh[pousr]_|glpat|_live_|_test_|xox|sg\.|eyj|://|basic |salt|signature",
 )
 
 
-#: A name where a value may follow, and the parts without which no shape can match.
-CANDIDATE = re.compile(r"(?<![\w.À-ÿ-])[\w.À-ÿ-]++(?=[\"'\])]{0,3}[^\S\n]*(?:[:=,]|\?\?|\|\|))|--?[A-Za-z][\w-]*+(?=[ ]\S)")
+#: Every name that keyed_hits may take for a key, wherever it stands and whatever follows it: one word, or several at the start of a line.
+NAME = re.compile(r"[A-Za-z_À-ÿ][\w.À-ÿ-]*+")
+SPACED = re.compile(r"(?m)^[\s#/;*>\-!]*+(?:export\s+|set\s+|-\s+|ENV\s+|ARG\s+)?[\"']?([A-Za-z_À-ÿ][\w.À-ÿ-]*+(?:[ ]++[\w.À-ÿ-]++)++)[ ]*+[\"']?\s*[:=]")
+VALUE = re.compile(r"(?i)value(?![a-z])[^\n]*?[\"'`]")
+AS_KEY = re.compile(r"\s*(?::|=>|\]\s*(?:=[^=]|\?\?))")
+#: The parts without which no shape can match.
 PARTS = ("AKIA", "ASIA", "gh", "github_pat_", "glpat-", "_live_", "_test_", "xox", "SG.", "npm_", "AIza", "pypi-", "hf_", "dop_v1_", "sk-", "ya29.", "eyJ", "earer ", "asic ", "Token ", "PRIVATE KEY", "://")
 
 
@@ -105,10 +109,6 @@ def sensitive(key: str) -> bool:
     return got
 
 
-def telling(key: str) -> bool:
-    return key == "value" or sensitive(key)
-
-
 def strong(key: str) -> bool:
     """Keys under which even plain words are a passphrase."""
     return bool(set(key_words(key)) & {"password", "passwd", "pwd", "pass", "passphrase", "passwort", "kennwort", "contrasena", "contraseña", "senha", "passe", "secret", "clave", "parola"})
@@ -275,12 +275,12 @@ def shape_hits(text: str) -> Iterator[Hit]:
             yield whole(text, at, end, kind, TOKEN) if partial or not full else Hit(at, end, kind, "")
 
 
-def indent(line: str) -> int:
-    return len(line) - len(line.lstrip(" \t"))
-
-
 def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
     """Values under sensitive keys, by their key paths."""
+    keys = {k for k in {*NAME.findall(text), *SPACED.findall(text), *(m["key"] for m in ARGUMENT.finditer(text))} if sensitive(k)}
+    if not keys and not VALUE.search(text):
+        return
+    plain = [k for k in keys if not HINT.search(k.lower())]
     config = ext in CONFIG or ext == "json"
     at, n = 0, len(text)
     open_keys: list[tuple[int, str]] = []  # keys whose block is open, with their indentation
@@ -291,14 +291,12 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
         if not line.strip():
             continue
         body = line.rstrip()
-        depth = indent(line)
-        if len(line) > 20_000 and not HINT.search(line):
-            continue
+        depth = len(line) - len(line.lstrip(" \t"))
         while open_keys and open_keys[-1][0] >= depth and not body.lstrip().startswith(("}", ")", "]")):
             open_keys.pop()
         parent = next((k for _, k in reversed(open_keys) if sensitive(k)), "") if open_keys else ""
-        comment = bool(COMMENT.match(line))
-        literals = list(LITERAL.finditer(line)) if any(q in line for q in "\"'`") else []
+        near = parent or HINT.search(line.lower()) or any(k in line for k in plain) or depth and not open_keys and "value" in line
+        literals = list(LITERAL.finditer(line)) if (near or waiting) and any(q in line for q in "\"'`") else []
         if waiting:
             got = None
             if literals and literals[0].group() not in ('"""', "'''"):
@@ -313,35 +311,35 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
             waiting = ""
             if got:
                 continue
-        if not (parent or HINT.search(line) or depth and not open_keys and "value" in line):
+        if not near:
             if body.endswith(("{", "[", "(", ":")):
                 ids = IDENT.findall(body)
                 if ids:
                     open_keys.append((depth, next((x for x in reversed(ids) if x not in TYPES), ids[-1])))
             continue
+        comment = bool(COMMENT.match(line))
+        bare_to = len(line) - len(line.lstrip(" \t-,([{"))
         for m in literals:
             if start + m.start() < done:
                 continue
             if m.group() in ('"""', "'''"):
                 break
-            before = line[: m.start()]
-            gap = re.search(r"[^\w.\]\)\"'$`]*$", before).group() if before else ""
-            ids = [x for x in IDENT.findall(before[-160:]) if x not in TYPES and x.rpartition(".")[2] not in TYPES]
+            ids = [x for x in IDENT.findall(line[max(0, m.start() - 160) : m.start()]) if x not in TYPES and x.rpartition(".")[2] not in TYPES]
             key = ids[-1] if ids else ""
-            if key.rpartition(".")[2] in ("get", "env", "environ", "getenv", "Setenv", "put", "define", "setProperty", "getProperty", "set", "add", "connect") and not re.search(r"=\s*$", gap):
+            if key.rpartition(".")[2] in ("get", "env", "environ", "getenv", "Setenv", "put", "define", "setProperty", "getProperty", "set", "add", "connect") and not line[: m.start()].rstrip().endswith("="):
                 key = ""
             leaf = key.rpartition(".")[2]
             if leaf.lower() in WRAPPERS and parent:
                 key = parent
             elif leaf.lower() == "value" and depth and not open_keys and len(literals[-1].group()) > 14:
                 key = "secret"  # the key it stands under lies before this text
-            if not key and parent and before.strip(" \t-,([{") == "":
+            if not key and parent and m.start() <= bare_to:
                 key = parent
             if not key or not sensitive(key):
                 continue
-            follows = line[m.end() :].lstrip()
-            if follows[:1] == ":" or follows[:2] == "=>" or re.match(r"\]\s*(?:=[^=]|\?\?)", follows):
+            if AS_KEY.match(line, m.end()):
                 continue  # the literal is itself a key
+            before = line[: m.start()]
             if not re.search(r"[=:,(\[{|?>]\s*[\w]{0,2}$|(?:or|else|return)\s*$", before.rstrip() + " ") and before.strip():
                 continue
             ranges, v, cut_off, done = joined(text, start + m.start(), n)
@@ -413,8 +411,7 @@ def find_credentials(text: str | None, ext: str = "") -> list[Hit]:
     if not text:
         return []
     shaped = shape_hits(text) if any(p in text for p in PARTS) else ()
-    keyed = keyed_hits(text, ext) if any(map(telling, set(CANDIDATE.findall(text)))) else ()
-    hits = sorted([*shaped, *keyed], key=lambda h: (h.start, -h.end))
+    hits = sorted([*shaped, *keyed_hits(text, ext)], key=lambda h: (h.start, -h.end))
     out: list[Hit] = []
     for h in hits:
         if out and any(a <= h.start < b for a, b in out[-1].ranges):

@@ -165,6 +165,18 @@ def test_whole_value_masked(text, ext, want):
     assert secrets.redact(text, ext) == want
 
 
+GATED = [
+    ('user.setPassword("Xy7!kd93Lq");', "java"), ('b.withPassword("Xy7!kd93Lq")', "java"), ('const dbPassword string = "Xy7!kd93Lq"', "go"), ("# API key: Xy7!kd93Lq", "py"), ("API key: Xy7!kd93Lq", "md"), ('cardPin := "Xy7!kd93Lq"', "go"),
+    ("# connection string: Xy7!kd93Lq", "py"), ("run --card-pin Xy7!kd93Lq", "sh"), ("secret = (\n  [" + "[], " * 9000 + '"Xy7!kd93Lq"]\n)', "py"),
+]
+
+
+@pytest.mark.parametrize(("text", "ext"), GATED)
+def test_key_without_value_sign(text, ext):
+    """Texts in which nothing but the key itself opens the search, and a long line below its key."""
+    assert secrets.redact(text, ext) == text.replace("Xy7!kd93Lq", secrets.MASK)
+
+
 def test_credentials_frame(spark):
     f = files(spark, ("a.env", f"A=1\nTOKEN={PAT}"), ("b.env", None))
     m = spark.createDataFrame([(5, "a.env", f"TOKEN={PAT}", (f"x\nTOKEN={PAT}",)), (5, "a.env", f"TOKEN={PAT}", (f"x\nTOKEN={PAT}",)), (6, None, "", None)], "match_id long, file_path string, snippet string, evidence struct<code_snippet: string>")
