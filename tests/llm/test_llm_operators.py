@@ -223,6 +223,20 @@ def test_pairs(spark):
     assert qa_defects.defects(df.limit(0)).count() == 0
 
 
+def test_template_reworded_step_by_step(spark):
+    """Openings in a chain, each similar to the next one only, are one template."""
+    words = [f"term{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    chain = []
+    for k in range(5):
+        words[4 + 12 * k] = f"changed{k}"
+        chain.append(" ".join(words))
+    apart = [len(qa_defects.shingles(x) & qa_defects.shingles(y)) / len(qa_defects.shingles(x) | qa_defects.shingles(y)) for x, y in zip(chain, [*chain[1:], chain[0]], strict=True)]
+    assert min(apart[:-1]) >= qa_defects.SIMILAR > apart[-1]
+    rows = [(x, f"prompt {k}", k == 0) for k, x in enumerate(chain)]
+    local = spark.createDataFrame([*rows, ("something else altogether", "prompt 9", False)], "opening string, prompt string, declines boolean")
+    assert {r.opening for r in qa_defects.templates(local).collect()} == set(chain)
+
+
 def test_templates_need_recurrence_and_similarity(spark):
     rows = [(k, f"Why does `f{k}` fail in {'abcdefgh'[k]} mode?", f"There is nothing I can say about this from what I was given in case {k}.") for k in range(6)]
     local = qa_defects.map_rows(spark.createDataFrame(rows, "qa_id long, question string, answer_text string"), qa_defects._local, qa_defects.LOCAL)
