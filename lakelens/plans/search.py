@@ -54,6 +54,18 @@ def norms(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg(S.norm(F.col("embedding"))), 6).alias("mean_norm"))
 
 
+@query("v4_similar_chunks", """
+WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM n),
+p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, CASE WHEN q.n * i.n = 0 THEN 0.0 ELSE list_sum(list_transform(list_zip(q.v, i.v), lambda z: z[1] * z[2])) / (q.n * i.n) END AS score FROM m q, m i WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM p)
+SELECT query_id, item_id, round(score, 6) AS score, place::INTEGER AS place FROM r WHERE place <= 5""")
+def similar_chunks(spark, d):
+    """V4: the five vectors most like each vector whose id is divisible by 100, itself included."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.vector_search(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 5).withColumn("score", F.round("score", 6))
+
+
 KEYWORD = """
 kq AS (SELECT qa_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda w: w <> '')) AS words FROM qa_results WHERE qa_id % 100 = 0 AND question IS NOT NULL),
 ko AS (SELECT min(source_row_id) AS source_row_id, symbol_name, content FROM retrieved_sources GROUP BY ALL),
