@@ -115,3 +115,10 @@ def keywords(spark, d):
     q = table(spark, d, "qa_results").where("question IS NOT NULL").where(~F.col("question").rlike(r"[^\x00-\x7f]"))
     k = search.keywords(F.col("question"))
     return q.select("qa_id", F.array_join(k, " | ").alias("keywords")).where("keywords <> ''")
+
+
+@query("f14_all_keywords")
+def all_keywords(spark, d):
+    """All questions; without SQL, for the engines differ on what a word is outside ASCII."""
+    q = table(spark, d, "qa_results").where("question IS NOT NULL")
+    return q.select("qa_id", F.array_join(search.keywords(F.col("question")), " | ").alias("keywords")).where("keywords <> ''")

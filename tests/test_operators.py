@@ -183,3 +183,12 @@ def test_similar_chunks(spark, data):
     asked = {r.query_id for r in rows}
     assert asked and len(rows) == 5 * len(asked)
     assert all(any(r.query_id == r.item_id and r.score == 1 for r in rows if r.query_id == q) for q in asked)
+
+
+def test_keywords_of_all_questions(spark, tmp_path):
+    from lakelens.plans import registry
+
+    spark.createDataFrame([(1, "Où est loadRows défini?"), (2, "索引 load_rows 在哪里"), (3, None), (4, "parse")], "qa_id long, question string").write.parquet(f"{tmp_path}/qa_results.parquet")
+    got = {r.qa_id: set(r.keywords.split(" | ")) for r in registry.queries()["f14_all_keywords"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 4} and got[4] == {"parse"}
+    assert "loadRows" in got[1] and {"load_rows", "load", "rows"} <= got[2]
