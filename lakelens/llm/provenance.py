@@ -7,8 +7,8 @@ of three-character runs over a small alphabet, so the table is bounded). A file
 - generated, if its names come from templates (low diversity of names once their counting
   numbers and vocabulary are taken out), or its head says that a tool wrote it, or it is a lock file;
 - data, if nearly all of its tokens are literals or records with the same keys;
-- vendored, if it is a copy: the same code, comments aside, in several repositories, or names and
-  roots foreign to the repository together with a banner of another project or a third-party place.
+- vendored, if it is a copy: the same code, comments aside, in several repositories, or a banner
+  of another project or a third-party place. Naming styles are not compared with the repository's.
 
 Two passes over the files. The first one shuffles counts that are aggregated in each task
 (character runs: bounded; fingerprints: one row per distinct file) and is kept for its two
@@ -173,7 +173,7 @@ def judge(path: str | None, text: str | None, models: dict[str, dict[str, float]
     path, ext = path or "", extension(path)
     if not text or not text.strip():
         return False, False, False, False, 0.0, 1.0
-    head = HEAD.match(text).group()[:4000]
+    head = HEAD.match(text).group()
     code = text[len(head) :]
     stripped = bare(code) if ext in CODE else code
     words = [w for w in IDENT.findall(stripped) if w.isascii()] if ext in CODE else []

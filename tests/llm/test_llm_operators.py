@@ -190,6 +190,13 @@ def test_credentials_frame(spark):
 HAND = "import logging\n\nclass Loader:\n    def load_rows(self, table, limit=10):\n        rows = self.source.read(table)\n        for row in rows:\n            logging.info('row %s', row)\n            self.keep(row)\n        return rows[:limit]\n"
 
 
+def test_marker_behind_a_long_licence():
+    licence = "".join(f"# Line {k} of the terms of a licence, in plain words.\n" for k in range(120))
+    assert len(licence) > 4000
+    assert provenance.judge("a.py", licence + "# Code generated by protoc. DO NOT EDIT.\n" + HAND, {})[0]
+    assert not provenance.judge("a.py", licence + HAND, {})[0]
+
+
 def test_provenance(spark):
     rng = random.Random(1)
     table = "TABLE = [\n" + ",\n".join(", ".join(str(rng.randint(-999, 999)) for _ in range(9)) for _ in range(20)) + "]\n"
