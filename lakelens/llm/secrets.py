@@ -1,11 +1,12 @@
 """Problem 4: credentials embedded in source code, found and masked.
 
-Method: a text is read as a tree of key paths with offsets. Quoted and bare values of every
-configuration or assignment form (JSON, YAML, env, ini, code, comments) are tied to the key
-they stand under, across lines and through wrapping keys such as `value`; a credential is a
-value whose shape fits a sensitive key, or a value of a shape that is a credential anywhere
-(provider prefixes, signed tokens, private keys, logins in URLs, secret hook URLs). Redactions
-are spliced into the original text by offset, so everything around a value stays as it is.
+Method: configuration formats (JSON, YAML, INI, TOML, properties, env) are parsed into key
+paths with offsets by the readers of `config`; in code and comments, quoted and bare values are
+tied to the name they are assigned or handed to, across lines and through wrapping keys such as
+`value`. A credential is a value whose shape fits a sensitive key, a value of a shape that is a
+credential anywhere (provider prefixes, signed tokens, private keys, logins in URLs and command
+arguments, secret hook URLs), or a password-like token that a comment tells of. Redactions
+are spliced into the original bytes by byte offset, so everything around a value stays as it is.
 A value is masked whole: literals joined to one value are one range with the code that joins
 them (a literal in other quotes starts a further range), a key without an END line ends with its text.
 One map over the rows without a shuffle; only found keys are made distinct.
@@ -19,15 +20,17 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .config import FORMATS, leaves
 from .grammar import extension
 from .rows import map_rows
 
-FOUND = "origin string, record_id long, line_no long, kind string, key_path string, start_pos long, end_pos long"
+FOUND = "origin string, record_id long, line_no long, kind string, key_path string, start_pos long, end_pos long, start_byte long, end_byte long"
 MASK = "[REDACTED]"
 
 # fixed values: shapes that are credentials wherever they stand
@@ -48,6 +51,7 @@ SENSITIVE = set("password passwd pwd pass passphrase passcode passwort kennwort
 PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("master", "key"), ("account", "key"), ("auth", "key"), ("stripe", "key"), ("mail", "key"), ("deploy", "key"), ("service", "key"), ("client", "key"), ("ssh", "key"), ("license", "key"), ("storage", "key"), ("de", "passe"), ("app", "key"), ("hmac", "key"), ("session", "key"), ("webhook", "key"), ("shared", "key")}
 # fixed values: words that turn such a key into something about a credential
 ABOUT = set("hint label field name names ref reference type count policy length size url uri path file filename public placeholder pattern regex re prompt title text message description help env var variable key_name min max ttl expiry expires expire lifetime enabled required rotation version id index column header_name param parameter checksum hash sha digest fingerprint limit quota budget page class method mode format status state kind scope scopes issuer audience provider algorithm alg store manager service handler factory util utils test".split())
+RUN_TOGETHER = re.compile(r".(?:password|passwd|passphrase|pwd|secret|token|jwt|apikey|(?:access|secret|signing|private|encryption|master|account|deploy)key)$")
 WRAPPERS = set("value val default current data raw plain plaintext content text literal string secret_value".split())
 TYPES = set("string str String null None const let var final static private public protected export readonly char number any undefined new f r b u rb or and is as byte bytes Optional Union self this".split())
 MASKED = re.compile(r"\*{3,}|x{6,}|X{6,}|•{3,}|\.{4,}|#{4,}|<[^<>]*>|\[(?:REDACTED|MASKED|FILTERED|REMOVED|HIDDEN|SECRET)[^\]]*\]|\{\{|\$\{|\$\(|%\(|%[A-Z_]+%|redacted|masked", re.I)
@@ -64,11 +68,21 @@ BARE = re.compile(r"^[\s#/;*>\-!]*(?:export\s+|set\s+|-\s+|ENV\s+|ARG\s+)?[\"']?
 INLINE = re.compile(r"(?<![\w.À-ÿ-])(?P<key>[A-Za-z_À-ÿ][\w.À-ÿ-]*)\s*[:=]\s*(?P<value>[^\s\"'`,;)(]+)")
 ARGUMENT = re.compile(r"--?(?P<key>[A-Za-z][\w-]*)[= ](?P<value>[^\s\"'`]+)")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|;|--|<!--)")
+OTHERWISE = re.compile(r"(?:\|\||\?\?|\?:|\bor|\belse|:-)\s*$")
+FOLLOWS = re.compile(r"[=:,(\[{|?>]\s*[\w]{0,2}$|(?:or|else|return)\s*$")
 CONTINUED = re.compile(r"[ \t]*\)?[ \t]*(?:\+|\.|\\|&|\|\|)?[ \t]*\r?\n[ \t]*(?:\+|\.|&)?[ \t]*(?=[\"'`])|[ \t]*(?:\+|\.)[ \t]*(?=[\"'`])")
 BEARER, HOOKED, TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]*"), re.compile(r"[^\s'\"`<>)\\]*"), re.compile(r"[A-Za-z0-9_.-]*")
 #: A line of a key: what stands around it in code, its text or a header, and what does not belong to a key.
 KEY_LINE = re.compile(r"(?:[\s\"'.,`|>#*();&+]|\\[nrt\n]|//|/\*)*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):(?:(?!\\n)[^\n])*|(?P<core>[A-Za-z0-9+/=]+)(?=\s*(?:\\[nrt\r\n]|[\"'`]|[ \t]*(?:\*/|-->)?\s*(?:\n|\Z)))|(?P<other>\S))")
 END_MARK = re.compile(r"-----END(?:[^\n-]*-----)?")
+#: Arguments of commands that are a login or a password.
+LOGIN_ARGUMENT = re.compile(r"\b(?:curl|wget|https?|httpie)\b[^\n|;]*?\s(?:-u|--user|--proxy-user|-a|--auth)[ =]?(?:\"[^\":\n]*:(?P<d>[^\"\n]+)|'[^':\n]*:(?P<s>[^'\n]+)|[^\s:\"'@/]+:(?P<p>[^\s\"'`]+))")
+PASSWORD_ARGUMENT = re.compile(r"\b(?:sshpass|mysql\w*|mariadb\S*|mongo\w*|redis-cli|ldap\w+|docker login|rabbitmq\w*|zip|unzip|7z|az login|sqlcmd|cqlsh)\b[^\n|;]*?\s-[pawP] ?(?:\"(?P<d>[^\"\n]+)|'(?P<s>[^'\n]+)|(?P<p>[^\s\"'`-][^\s\"'`]*))")
+# fixed values: words that tell of a credential in running text
+TELLING = re.compile(r"(?i)(?<![^\W\d_])(?:pw|pwd|pass|passwords?|passwd|passphrase|passcode|logins?|creds?|credentials?|secret|api key|token|passwort|kennwort|zugang|senha|contrase[ñn]a|clave|mot de passe|пароль|密码|口令|パスワード|비밀번호)(?![^\W\d_])")
+TOLD = re.compile(r"[^\s\"'`,;()<>\[\]{}]{8,}")
+#: Names, numbered words, paths and the like, which running text is full of.
+SPEECH = re.compile(r"[A-Za-z]+(?:[_.-]?[A-Za-z]+)*\d{0,3}|[a-z]+(?:[_-][a-z0-9]+)*|[\w.-]*/[\w./-]*|[\w.+-]+@[\w.-]+|[0-9a-fA-F-]+|v?\d[\w.-]*|[a-z]+(?:_[a-z]+)*=\S*|[A-Z_]+=\S*|\S*[:|]\S*|--?\S+")
 CONFIG = {"env", "yaml", "yml", "ini", "cfg", "conf", "toml", "properties", "sh", "md", "txt", ""}
 # fixed values: what makes a line worth a look, in lower case
 HINT = re.compile(
@@ -97,7 +111,7 @@ def sensitive(key: str) -> bool:
     got = _KEYS.get(key)
     if got is None:
         w = [x for x in key_words(key.rpartition(".")[2] or key) if not x.isdigit()]
-        hit = any(x in SENSITIVE for x in w) or any(p in PAIRS for p in zip(w, w[1:], strict=False)) or "".join(w) in SENSITIVE
+        hit = any(x in SENSITIVE for x in w) or any(p in PAIRS for p in zip(w, w[1:], strict=False)) or "".join(w) in SENSITIVE or bool(w) and bool(RUN_TOGETHER.search(w[-1]))
         last = max((k for k, x in enumerate(w) if x in SENSITIVE or x == "key"), default=-1)
         if hit and any(x in ABOUT for x in w[last + 1 :]) and not (w[-1] == "id" and w[-2:-1] == ["key"]):
             hit = False
@@ -124,9 +138,11 @@ def credential_shape(v: str, key: str, cut_off: bool = False) -> bool:
     if no_secret(v):
         return False
     n = len(v)
-    if n < (4 if cut_off else 6) or any(c in " \t\n" for c in v.strip()) or n > 4096:
+    if n < (4 if cut_off else 6) or any(c in " \t\n" for c in v.strip()):
         return False
     v = v.strip()
+    if re.fullmatch(r"[A-Za-z0-9+/]{32,}={0,2}", v) and all(len(re.findall(p, v)) > 3 for p in (r"\d", "[A-Z]", "[a-z]")):
+        return True
     if re.fullmatch(r"[\d.,:+\- _]+", v):
         return n >= 8 and v.isdigit() and strong(key)
     if re.fullmatch(r"[^\W\d_]+[.!?,;:…]*", v):
@@ -275,8 +291,61 @@ def shape_hits(text: str) -> Iterator[Hit]:
             yield whole(text, at, end, kind, TOKEN) if partial or not full else Hit(at, end, kind, "")
 
 
-def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
-    """Values under sensitive keys, by their key paths."""
+def key_of(path: tuple[str, ...]) -> str:
+    """The key that a value stands under: the last one that is no index and no wrapper such as `value`."""
+    own = [k for k in path if not k.isdigit()]
+    while len(own) > 1 and own[-1].rpartition(".")[2].lower() in WRAPPERS:
+        own.pop()
+    return own[-1] if own else ""
+
+
+def config_hits(text: str, ext: str) -> Iterator[Hit]:
+    """Values under sensitive keys of a configuration format."""
+    for leaf in leaves(text, ext):
+        key = key_of(leaf.path)
+        v = text[leaf.start : leaf.end]
+        if key and sensitive(key):
+            if credential_shape(v, key, leaf.cut_off):
+                yield Hit(leaf.start, leaf.end, "keyed", ".".join(leaf.path))
+            elif ext not in ("json", "env") and " " in v:  # an inner assignment, as in a connection string
+                for m in INLINE.finditer(text, leaf.start, leaf.end):
+                    if sensitive(m["key"]) and credential_shape(m["value"], m["key"], leaf.cut_off and m.end() == leaf.end):
+                        yield Hit(*m.span("value"), "keyed", ".".join((*leaf.path, m["key"])))
+        elif key.lower() in WRAPPERS and len(leaf.path) == 1 and leaf.start > 0 and text[text.rfind("\n", 0, leaf.start) + 1] in " \t" and credential_shape(v, "secret", leaf.cut_off) and len(v) > 12:
+            yield Hit(leaf.start, leaf.end, "keyed", leaf.path[0])  # the key it stands under lies before this text
+
+
+def argument_hits(text: str) -> Iterator[Hit]:
+    """Logins and passwords among the arguments of commands."""
+    for pattern, kind in ((LOGIN_ARGUMENT, "login"), (PASSWORD_ARGUMENT, "argument")):
+        for m in pattern.finditer(text):
+            group = next(k for k in "dsp" if m[k] is not None)
+            a, b = m.span(group)
+            v = text[a:b]
+            if not no_secret(v) and (credential_shape(v, "password", b >= len(text) - 1) or len(v) >= 8 and re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and not v.startswith(("$", "{"))):
+                yield Hit(a, b, kind, "")
+
+
+def told_hits(text: str, ext: str) -> Iterator[Hit]:
+    """Password-like tokens behind a word that tells of a credential, in comments and running text."""
+    n, done = len(text), 0
+    for m in TELLING.finditer(text):
+        if m.start() < done:
+            continue
+        low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        done = high = n if high < 0 else high
+        before = text[low : m.start()]
+        if not (ext in ("md", "txt") and not text.startswith(("    ", "\t"), low) or re.match(r"\s*(?:#|//|/\*|\*|;|--|<!--)", before) or re.search(r"(?:\s#|//|/\*|<!--)[^\n\"']*$", before)):
+            continue
+        for t in TOLD.finditer(text, m.end(), high):
+            v = t.group().rstrip(".,;:!?*")
+            if re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and re.search(r"[^\w]|_|[A-Z]", v) and not SPEECH.fullmatch(v) and credential_shape(v, "password", t.end() >= n - 1):
+                yield Hit(t.start(), t.start() + len(v), "told", "")
+                break
+
+
+def keyed_hits(text: str, ext: str, comments: bool = False) -> Iterator[Hit]:
+    """Values under sensitive names in code and running text; only those in comment lines if asked."""
     keys = {k for k in {*NAME.findall(text), *SPACED.findall(text), *(m["key"] for m in ARGUMENT.finditer(text))} if sensitive(k)}
     if not keys and not VALUE.search(text):
         return
@@ -288,7 +357,7 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
     done = 0  # end of the last value with all its parts
     for line in text.split("\n"):
         start, at = at, at + len(line) + 1
-        if not line.strip():
+        if not line.strip() or comments and not COMMENT.match(line):
             continue
         body = line.rstrip()
         depth = len(line) - len(line.lstrip(" \t"))
@@ -319,13 +388,17 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
             continue
         comment = bool(COMMENT.match(line))
         bare_to = len(line) - len(line.lstrip(" \t-,([{"))
+        every = [(x.end(), x.group()) for x in IDENT.finditer(line) if x.group() not in TYPES and x.group().rpartition(".")[2] not in TYPES] if literals else []
+        ends = [x[0] for x in every]
         for m in literals:
             if start + m.start() < done:
                 continue
             if m.group() in ('"""', "'''"):
                 break
-            ids = [x for x in IDENT.findall(line[max(0, m.start() - 160) : m.start()]) if x not in TYPES and x.rpartition(".")[2] not in TYPES]
-            key = ids[-1] if ids else ""
+            last = bisect_right(ends, m.start())
+            key = every[last - 1][1] if last else ""
+            if last > 1 and not sensitive(key) and OTHERWISE.search(line, 0, m.start()):  # a = read(b) or "value"
+                key = next((x for _, x in reversed(every[max(0, last - 4) : last - 1]) if sensitive(x)), key)
             if key.rpartition(".")[2] in ("get", "env", "environ", "getenv", "Setenv", "put", "define", "setProperty", "getProperty", "set", "add", "connect") and not line[: m.start()].rstrip().endswith("="):
                 key = ""
             leaf = key.rpartition(".")[2]
@@ -340,7 +413,7 @@ def keyed_hits(text: str, ext: str) -> Iterator[Hit]:
             if AS_KEY.match(line, m.end()):
                 continue  # the literal is itself a key
             before = line[: m.start()]
-            if not re.search(r"[=:,(\[{|?>]\s*[\w]{0,2}$|(?:or|else|return)\s*$", before.rstrip() + " ") and before.strip():
+            if not FOLLOWS.search(before[-24:].rstrip() + " ") and before.strip():
                 continue
             ranges, v, cut_off, done = joined(text, start + m.start(), n)
             if credential_shape(v, key, cut_off):
@@ -411,7 +484,9 @@ def find_credentials(text: str | None, ext: str = "") -> list[Hit]:
     if not text:
         return []
     shaped = shape_hits(text) if any(p in text for p in PARTS) else ()
-    hits = sorted([*shaped, *keyed_hits(text, ext)], key=lambda h: (h.start, -h.end))
+    keyed = (*config_hits(text, ext), *keyed_hits(text, ext, True)) if ext in FORMATS else keyed_hits(text, ext)
+    argued = argument_hits(text) if " -" in text else ()
+    hits = sorted([*shaped, *keyed, *argued, *told_hits(text, ext)], key=lambda h: (h.start, -h.end))
     out: list[Hit] = []
     for h in hits:
         if out and any(a <= h.start < b for a, b in out[-1].ranges):
@@ -432,19 +507,38 @@ def redact(text: str | None, ext: str = "") -> str | None:
     hits = find_credentials(text, ext)
     if not hits:
         return text
-    parts, at = [], 0
-    for a, b in (r for h in hits for r in h.ranges):
-        parts += [text[at:a], MASK]
+    raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for a, b in byte_ranges(text, [r for h in hits for r in h.ranges]):
+        parts += [raw[at:a], MASK.encode()]
+        at = b
+    return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def byte_ranges(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same ranges, which are in order, counted in bytes of UTF-8."""
+    if text.isascii():
+        return ranges
+    out, at, size = [], 0, 0
+    for a, b in ranges:
+        first = size + len(text[at:a].encode("utf-8", "surrogatepass"))
+        size = first + len(text[a:b].encode("utf-8", "surrogatepass"))
+        out.append((first, size))
         at = b
-    return "".join([*parts, text[at:]])
+    return out
 
 
 def _finder():
     def one(origin, record_id, path, text):
-        for h in find_credentials(text, extension(path)):
-            line = text.count("\n", 0, h.start) + 1
+        hits = find_credentials(text, extension(path))
+        if not hits:
+            return
+        inside = iter(byte_ranges(text, [r for h in hits for r in h.ranges]))
+        line, at = 1, 0
+        for h in hits:
+            line += text.count("\n", at, h.start)
+            at = h.start
             for a, b in h.ranges:
-                yield origin, record_id, line, h.kind, h.path, a, b
+                yield origin, record_id, line, h.kind, h.path, a, b, *next(inside)
 
     return one
 
