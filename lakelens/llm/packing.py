@@ -3,13 +3,15 @@
 Method: Karmarkar-Karp multiway differencing. The items are dealt into blocks of a bounded
 number of rows; in each block the two partial partitions with the largest imbalance are merged,
 the fullest windows of one with the emptiest of the other, until one partition with
-near-equal windows is left. The number of windows starts at what the total needs at least and
-rises where items still exceed the capacity after the loosest fit. Only keys and sizes are shuffled, once; rows are
-dealt in turn, so a block stays bounded whatever values repeat.
+near-equal windows is left. The number of windows starts at what the sizes need at least and
+rises where the capacity is exceeded. Only keys and sizes are shuffled, once; each partition deals
+its rows in turn from a place of its own, so blocks stay even whatever values repeat and however
+many partitions or blocks there are; every block is a task of its own.
 
 Defined cases: documents without a token (null, empty) take no part; a document over the
 capacity is cut into full containers and a rest that is packed like any other; a null key is
-kept as it is; repeated rows are items of their own; an empty table gives no rows.
+kept as it is; repeated rows are items of their own; an empty table gives no rows. The rows of an
+input partition must come in the same order whenever its task is repeated, as they do from files.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ import math
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import TOKENIZERS, token_sizes
 
 BLOCK = 4096
-SPAN = 1 << 20
-TRIES, RISES = 1000, 2
+SPAN = 1 << 32  # more containers than a block can fill, for a text has less than 2^31 characters
+ROW = 1 << 33  # rows of a partition in monotonically_increasing_id
+RISES = 2
 PLACED = "container_id long, doc_id long, piece_no int, start_token long, n_tokens long"
 
 
@@ -81,7 +84,7 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each item; sizes are between 1 and the capacity.
 
-    The windows start at the number that the total needs at least. Where one exceeds the capacity, items
+    The windows start at the number that the sizes need at least. Where one exceeds the capacity, items
     are swapped with a window that has room; while that does not do, the number rises. After a few
     rises (many large items) the smallest items that relieve it move into the room that others have left; what fits nowhere
     makes the number rise and is differenced again among the new windows.
@@ -90,7 +93,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     window = np.full(n, -1, np.int64)
     todo, used = np.arange(n), 0
     while len(todo):
-        least = max(1, math.ceil(int(sizes[todo].sum()) / capacity))
+        least = at_least(sizes[todo], capacity)
         for k in range(least, least + RISES):
             own, totals = differencing(sizes[todo], k)
             _swap(sizes[todo], own, totals, capacity)
@@ -117,6 +120,20 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return np.unique(window, return_inverse=True)[1] if n else window
 
 
+def at_least(sizes: np.ndarray, capacity: int) -> int:
+    """Windows needed at least: by the total, and for each size t by the items over capacity - t, which share no window with items from t on."""
+    order = np.sort(sizes)
+    sums = np.concatenate([[0], np.cumsum(order)])
+    n, best = len(order), max(1, math.ceil(int(sums[-1]) / capacity))
+    half = np.searchsorted(order, capacity // 2, "right")
+    for t in np.unique(order[order <= capacity // 2]).tolist():
+        big, low = np.searchsorted(order, capacity - t, "right"), np.searchsorted(order, t)
+        middle = int(sums[big] - sums[half])
+        small = int(sums[half] - sums[low])
+        best = max(best, int(n - half) + max(0, math.ceil((small - (int(big - half) * capacity - middle)) / capacity)))
+    return max(best, int(n - half))
+
+
 def _swap(sizes: np.ndarray, own: np.ndarray, totals: np.ndarray, capacity: int) -> None:
     """Evens out windows over the capacity: an item goes to a window with room and a smaller one, or none, comes back."""
     members: dict[int, list[int]] = {}
@@ -126,7 +143,7 @@ def _swap(sizes: np.ndarray, own: np.ndarray, totals: np.ndarray, capacity: int)
         excess = int(totals[w]) - capacity
         mine = np.array([sizes[i] for i in members[w]])
         spare = np.flatnonzero(totals <= capacity - excess)
-        for u in spare[np.argsort(totals[spare], kind="stable")][:TRIES].tolist():
+        for u in spare[np.argsort(totals[spare], kind="stable")].tolist():
             theirs = np.array([0] + [sizes[i] for i in members.get(u, [])])
             gain = mine[:, None] - theirs[None, :]
             fit = (gain >= excess) & (gain <= capacity - int(totals[u]))
@@ -166,26 +183,37 @@ def _relieve(sizes: np.ndarray, own: np.ndarray, totals: np.ndarray, capacity: i
     return loose
 
 
+def block_of(blocks: int):
+    """Block of a row: each partition deals its rows in turn, from a place that its number decides."""
+    row = F.monotonically_increasing_id()
+    part = F.shiftright(row, 33)
+    return F.pmod(F.pmod(F.xxhash64(part), F.lit(blocks)) + row.bitwiseAND(F.lit(ROW - 1)), F.lit(blocks)).cast("int")
+
+
+def _place(capacity: int):
+    schema = pa.schema([("container_id", pa.int64()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64())])
+
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("row", "ascending")]).combine_chunks()
+        size, doc = rows["n_tokens"].to_numpy(), rows["doc_id"]
+        whole = (size - 1) // capacity  # containers filled by a document over the capacity
+        rest = size - whole * capacity
+        window = pack(rest, capacity)
+        first = rows["block"][0].as_py() * SPAN
+        many = np.repeat(np.arange(len(size)), whole)
+        piece = np.arange(len(many)) - np.repeat(np.cumsum(whole) - whole, whole)
+        container = np.concatenate([first + window, first + int(window.max()) + 1 + np.arange(len(many))])
+        every = np.concatenate([np.arange(len(size)), many])
+        number = np.concatenate([whole, piece])
+        tokens = np.concatenate([rest, np.full(len(many), capacity)])
+        return pa.Table.from_arrays([pa.array(container), doc.take(pa.array(every)).combine_chunks(), pa.array(number, pa.int32()), pa.array(number * capacity), pa.array(tokens, pa.int64())], schema=schema)
+
+    return place
+
+
 def containers(documents: DataFrame, capacity: int, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """One row per document (or piece of one over the capacity) with its container."""
     blocks = max(1, math.ceil(documents.count() / BLOCK))  # a count of rows, from file footers
     sized = token_sizes(documents, folder, name).where("n_tokens > 0")
-    full = F.floor((F.col("n_tokens") - 1) / capacity).cast("int")  # containers filled whole by a document over the capacity
-    dealt = sized.withColumn("full", full).withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod("row", F.lit(blocks)).cast("long"))
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "row"], ascending=[False, True, True], kind="stable")
-        size, doc, whole = rows["n_tokens"].to_numpy(), rows["doc_id"].to_numpy(), rows["full"].to_numpy()
-        rest = size - whole * capacity
-        window = pack(rest, capacity)
-        first = int(rows["block"].iloc[0]) * SPAN
-        used = int(window.max()) + 1
-        out = pd.DataFrame({"container_id": first + window, "doc_id": doc, "piece_no": whole, "start_token": whole * capacity, "n_tokens": rest})
-        many = np.repeat(np.arange(len(doc)), whole)
-        if len(many):
-            ends = np.cumsum(whole)
-            piece = np.arange(len(many)) - np.repeat(ends - whole, whole)
-            out = pd.concat([out, pd.DataFrame({"container_id": first + used + np.arange(len(many)), "doc_id": doc[many], "piece_no": piece, "start_token": piece * capacity, "n_tokens": capacity})])
-        return out
-
-    return dealt.groupBy("block").applyInPandas(place, PLACED)
+    dealt = sized.withColumn("row", F.monotonically_increasing_id()).withColumn("block", block_of(blocks))
+    return dealt.repartitionById(blocks, "block").groupBy("block").applyInArrow(_place(capacity), PLACED)
