@@ -13,6 +13,9 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 
+DEPTH = 64  # innermost keys of a path that are kept
+
+
 class Leaf(NamedTuple):
     path: tuple[str, ...]
     start: int
@@ -44,11 +47,11 @@ def flow(text: str, at: int, end: int, path: tuple[str, ...]) -> Iterator[Leaf]:
 
     def place() -> tuple[str, ...]:
         out = list(path)
-        for k, (mark, key, name, index) in enumerate(frames):
+        for mark, key, name, index in frames[-DEPTH:]:
             if mark == "[":
                 out.append(str(index))
             elif key is not None:
-                out.append(name if k == len(frames) - 1 and name and key.lower() in VALUES else key)
+                out.append(name if name and key.lower() in VALUES else key)
         return tuple(out)
 
     for m in TOKEN.finditer(text, at, end):
@@ -72,18 +75,20 @@ def flow(text: str, at: int, end: int, path: tuple[str, ...]) -> Iterator[Leaf]:
             yield Leaf(place(), a, b, b >= n - (quoted and closed))
             if top[1] is not None and top[1].lower() in NAMES:
                 top[2] = text[a:b]
+            elif top[1] is not None and top[1].lower() in VALUES:
+                top[2] = None
             top[1] = None
 
 
-def balanced(text: str, at: int) -> int:
-    """End of the braces or brackets that open at `at`; the end of the line if they never close."""
+def balanced(text: str, at: int, stop: int, open_from: list[int]) -> int:
+    """End of the braces or brackets that open at `at`; the end of the line if they never close, which is found out once."""
     depth = 0
-    for m in TOKEN.finditer(text, at):
+    for m in TOKEN.finditer(text, at, stop if open_from else len(text)):
         depth += (m.group() in ("{", "[")) - (m.group() in ("}", "]"))
         if not depth:
             return m.end()
-    stop = text.find("\n", at)
-    return len(text) if stop < 0 else stop
+    open_from.append(at)
+    return stop
 
 
 def quoted(text: str, at: int, stop: int, path: tuple[str, ...]) -> tuple[Leaf, int]:
@@ -101,6 +106,7 @@ def quoted(text: str, at: int, stop: int, path: tuple[str, ...]) -> tuple[Leaf,
 def yaml(text: str) -> Iterator[Leaf]:
     """Values of a block of lines by indentation; braces and brackets inside are read as flow."""
     n, at = len(text), 0
+    open_from: list[int] = []
     stack: list[tuple[int, str]] = []  # indentation and key
     named: dict[int, str] = {}  # indentation -> the name that the mapping gave before
     while at < n:
@@ -130,7 +136,7 @@ def yaml(text: str) -> Iterator[Leaf]:
             named = {k: v for k, v in named.items() if k <= column}
             stack.append((column, named.get(column, key) if key.lower() in VALUES else key))
             p = m.end()
-        path = tuple(k for _, k in stack)
+        path = tuple(k for _, k in stack[-DEPTH:])
         p = YAML_LEAD.match(text, p, stop).end()
         at = stop + 1
         if p >= stop or text[p] in "#\r":
@@ -158,7 +164,7 @@ def yaml(text: str) -> Iterator[Leaf]:
                 at = text.find("\n", end)
                 at = n if at < 0 else at + 1
         elif text[p] in "{[":
-            end = balanced(text, p)
+            end = balanced(text, p, stop, open_from)
             yield from flow(text, p, end, path)
             if end > stop:
                 at = text.find("\n", end)
@@ -174,6 +180,7 @@ def yaml(text: str) -> Iterator[Leaf]:
 def pairs(text: str) -> Iterator[Leaf]:
     """Values of lines `key = value` or `key: value` under [sections], as in INI, TOML, properties and env."""
     n, at = len(text), 0
+    open_from: list[int] = []
     section: tuple[str, ...] = ()
     name, waiting = None, None
     while at < n:
@@ -200,7 +207,7 @@ def pairs(text: str) -> Iterator[Leaf]:
         if text.startswith(TRIPLE, p) or p < stop and text[p] in "\"'":
             leaf, end = quoted(text, p, stop, path)
         elif p < stop and text[p] in "{[":
-            end = balanced(text, p)
+            end = balanced(text, p, stop, open_from)
             yield from flow(text, p, end, path)
             leaf = None
         else:

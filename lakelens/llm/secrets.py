@@ -76,13 +76,14 @@ BEARER, HOOKED, TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]*"), re.compile(r"[^\s'\"
 KEY_LINE = re.compile(r"(?:[\s\"'.,`|>#*();&+]|\\[nrt\n]|//|/\*)*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):(?:(?!\\n)[^\n])*|(?P<core>[A-Za-z0-9+/=]+)(?=\s*(?:\\[nrt\r\n]|[\"'`]|[ \t]*(?:\*/|-->)?\s*(?:\n|\Z)))|(?P<other>\S))")
 END_MARK = re.compile(r"-----END(?:[^\n-]*-----)?")
 #: Arguments of commands that are a login or a password.
-LOGIN_ARGUMENT = re.compile(r"\b(?:curl|wget|https?|httpie)\b[^\n|;]*?\s(?:-u|--user|--proxy-user|-a|--auth)[ =]?(?:\"[^\":\n]*:(?P<d>[^\"\n]+)|'[^':\n]*:(?P<s>[^'\n]+)|[^\s:\"'@/]+:(?P<p>[^\s\"'`]+))")
-PASSWORD_ARGUMENT = re.compile(r"\b(?:sshpass|mysql\w*|mariadb\S*|mongo\w*|redis-cli|ldap\w+|docker login|rabbitmq\w*|zip|unzip|7z|az login|sqlcmd|cqlsh)\b[^\n|;]*?\s-[pawP] ?(?:\"(?P<d>[^\"\n]+)|'(?P<s>[^'\n]+)|(?P<p>[^\s\"'`-][^\s\"'`]*))")
+COMMANDS = re.compile(r"\b(?:(?P<login>curl|wget|https?|httpie)|sshpass|mysql\w*|mariadb\S*|mongo\w*|redis-cli|ldap\w+|docker login|rabbitmq\w*|zip|unzip|7z|az login|sqlcmd|cqlsh)[ \t](?P<rest>[^\n|;]*)")
+LOGIN_ARGUMENT = re.compile(r"(?:^|(?<=\s))(?:-u|--user|--proxy-user|-a|--auth)[ =]?(?:\"[^\":\n]*:(?P<d>[^\"\n]+)|'[^':\n]*:(?P<s>[^'\n]+)|[^\s:\"'@/]+:(?P<p>[^\s\"'`]+))")
+PASSWORD_ARGUMENT = re.compile(r"(?:^|(?<=\s))-[pawP] ?(?:\"(?P<d>[^\"\n]+)|'(?P<s>[^'\n]+)|(?P<p>[^\s\"'`-][^\s\"'`]*))")
 # fixed values: words that tell of a credential in running text
 TELLING = re.compile(r"(?i)(?<![^\W\d_])(?:pw|pwd|pass|passwords?|passwd|passphrase|passcode|logins?|creds?|credentials?|secret|api key|token|passwort|kennwort|zugang|senha|contrase[ñn]a|clave|mot de passe|пароль|密码|口令|パスワード|비밀번호)(?![^\W\d_])")
 TOLD = re.compile(r"[^\s\"'`,;()<>\[\]{}]{8,}")
 #: Names, numbered words, paths and the like, which running text is full of.
-SPEECH = re.compile(r"[A-Za-z]+(?:[_.-]?[A-Za-z]+)*\d{0,3}|[a-z]+(?:[_-][a-z0-9]+)*|[\w.-]*/[\w./-]*|[\w.+-]+@[\w.-]+|[0-9a-fA-F-]+|v?\d[\w.-]*|[a-z]+(?:_[a-z]+)*=\S*|[A-Z_]+=\S*|\S*[:|]\S*|--?\S+")
+SPEECH = re.compile(r"[A-Za-z]++(?:[_.-][A-Za-z]++)*+\d{0,3}|[a-z]++(?:[_-][a-z0-9]++)*+|[\w.-]*/[\w./-]*|[\w.+-]+@[\w.-]+|[0-9a-fA-F-]+|v?\d[\w.-]*|[a-z]+(?:_[a-z]+)*=\S*|[A-Z_]+=\S*|\S*[:|]\S*|--?\S+")
 CONFIG = {"env", "yaml", "yml", "ini", "cfg", "conf", "toml", "properties", "sh", "md", "txt", ""}
 # fixed values: what makes a line worth a look, in lower case
 HINT = re.compile(
@@ -317,8 +318,9 @@ def config_hits(text: str, ext: str) -> Iterator[Hit]:
 
 def argument_hits(text: str) -> Iterator[Hit]:
     """Logins and passwords among the arguments of commands."""
-    for pattern, kind in ((LOGIN_ARGUMENT, "login"), (PASSWORD_ARGUMENT, "argument")):
-        for m in pattern.finditer(text):
+    for command in COMMANDS.finditer(text):
+        pattern, kind = (LOGIN_ARGUMENT, "login") if command["login"] else (PASSWORD_ARGUMENT, "argument")
+        for m in pattern.finditer(text, *command.span("rest")):
             group = next(k for k in "dsp" if m[k] is not None)
             a, b = m.span(group)
             v = text[a:b]

@@ -82,3 +82,16 @@ def test_long_values_are_masked_whole():
     value = "aB3dE5gH7jK9" * 1000
     for text, ext in ((f'password = "{value}"', "py"), (f"password: {value}", "yaml"), (f'{{"password": "{value}"}}', "json"), (f"Authorization: Bearer {value}", "md")):
         assert "aB3dE5gH7jK9" not in secrets.redact(text, ext)
+
+
+@pytest.mark.parametrize("unit", ["curl ", '{"password": ', "password: {\n- {a: [", 'a: "x\n', 'x = password("', "# login ab_", "[", "- "])
+def test_time_grows_with_the_text_only(unit):
+    import time
+
+    for ext in ("py", "yaml", "json", "ini", "md"):
+        took = []
+        for k in (500, 4000):
+            start = time.process_time()
+            secrets.find_credentials(unit * k, ext)
+            took.append(time.process_time() - start)
+        assert took[1] < 24 * took[0] + 0.1
