@@ -80,17 +80,12 @@ COMMANDS = re.compile(r"\b(?:(?P<login>curl|wget|https?|httpie)|sshpass|mysql\w*
 LOGIN_ARGUMENT = re.compile(r"(?:^|(?<=\s))(?:-u|--user|--proxy-user|-a|--auth)[ =]?(?:\"[^\":\n]*:(?P<d>[^\"\n]+)|'[^':\n]*:(?P<s>[^'\n]+)|[^\s:\"'@/]+:(?P<p>[^\s\"'`]+))")
 PASSWORD_ARGUMENT = re.compile(r"(?:^|(?<=\s))-[pawP] ?(?:\"(?P<d>[^\"\n]+)|'(?P<s>[^'\n]+)|(?P<p>[^\s\"'`-][^\s\"'`]*))")
 # fixed values: words that tell of a credential in running text
-TELLING = re.compile(r"(?i)(?<![^\W\d_])(?:pw|pwd|pass|passwords?|passwd|passphrase|passcode|logins?|creds?|credentials?|secret|api key|token|passwort|kennwort|zugang|senha|contrase[ñn]a|clave|mot de passe|пароль|密码|口令|パスワード|비밀번호)(?![^\W\d_])")
+TELLING = "pw pwd pass password passwords passwd passphrase passcode login logins cred creds credential credentials secret token passwort kennwort zugang senha contraseña contrasena clave пароль".split() + ["api key", "mot de passe"]
+TELLING_UNSPACED = "密码 口令 パスワード 비밀번호".split()
 TOLD = re.compile(r"[^\s\"'`,;()<>\[\]{}]{8,}")
 #: Names, numbered words, paths and the like, which running text is full of.
 SPEECH = re.compile(r"[A-Za-z]++(?:[_.-][A-Za-z]++)*+\d{0,3}|[a-z]++(?:[_-][a-z0-9]++)*+|[\w.-]*/[\w./-]*|[\w.+-]+@[\w.-]+|[0-9a-fA-F-]+|v?\d[\w.-]*|[a-z]+(?:_[a-z]+)*=\S*|[A-Z_]+=\S*|\S*[:|]\S*|--?\S+")
 CONFIG = {"env", "yaml", "yml", "ini", "cfg", "conf", "toml", "properties", "sh", "md", "txt", ""}
-# fixed values: what makes a line worth a look, in lower case
-HINT = re.compile(
-    r"pass|pwd|secre|token|bearer|api.?key|key|cred|auth|private|jwt|dsn|pat\b|session|cookie|senha|contrase|clave|kennwort|parola|akia|asia|gh[pousr]_|glpat|_live_|_test_|xox|sg\.|eyj|://|basic |salt|signature",
-)
-
-
 #: Every name that keyed_hits may take for a key, wherever it stands and whatever follows it: one word, or several at the start of a line.
 NAME = re.compile(r"[A-Za-z_À-ÿ][\w.À-ÿ-]*+")
 SPACED = re.compile(r"(?m)^[\s#/;*>\-!]*+(?:export\s+|set\s+|-\s+|ENV\s+|ARG\s+)?[\"']?([A-Za-z_À-ÿ][\w.À-ÿ-]*+(?:[ ]++[\w.À-ÿ-]++)++)[ ]*+[\"']?\s*[:=]")
@@ -328,30 +323,46 @@ def argument_hits(text: str) -> Iterator[Hit]:
                 yield Hit(a, b, kind, "")
 
 
+def telling_places(text: str) -> list[tuple[int, int]]:
+    """Places of words that tell of a credential, in order."""
+    low = text.lower()
+    if len(low) != len(text):  # a few capitals have longer small forms
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out = []
+    for words, spaced in ((TELLING, True), (TELLING_UNSPACED, False)):
+        for w in words:
+            k = low.find(w)
+            while k >= 0:
+                end = k + len(w)
+                if not spaced or not (low[k - 1 : k].isalpha() or low[end : end + 1].isalnum() or low[end : end + 1] == "_"):
+                    out.append((k, end))
+                k = low.find(w, k + 1)
+    return sorted(out)
+
+
 def told_hits(text: str, ext: str) -> Iterator[Hit]:
     """Password-like tokens behind a word that tells of a credential, in comments and running text."""
     n, done = len(text), 0
-    for m in TELLING.finditer(text):
-        if m.start() < done:
+    for start, end in telling_places(text):
+        if start < done:
             continue
-        low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        low, high = text.rfind("\n", 0, start) + 1, text.find("\n", end)
         done = high = n if high < 0 else high
-        before = text[low : m.start()]
+        before = text[low:start]
         if not (ext in ("md", "txt") and not text.startswith(("    ", "\t"), low) or re.match(r"\s*(?:#|//|/\*|\*|;|--|<!--)", before) or re.search(r"(?:\s#|//|/\*|<!--)[^\n\"']*$", before)):
             continue
-        for t in TOLD.finditer(text, m.end(), high):
+        for t in TOLD.finditer(text, end, high):
             v = t.group().rstrip(".,;:!?*")
             if re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and re.search(r"[^\w]|_|[A-Z]", v) and not SPEECH.fullmatch(v) and credential_shape(v, "password", t.end() >= n - 1):
                 yield Hit(t.start(), t.start() + len(v), "told", "")
                 break
 
 
-def keyed_hits(text: str, ext: str, comments: bool = False) -> Iterator[Hit]:
+def keyed_hits(text: str, ext: str, names: set[str], comments: bool = False) -> Iterator[Hit]:
     """Values under sensitive names in code and running text; only those in comment lines if asked."""
-    keys = {k for k in {*NAME.findall(text), *SPACED.findall(text), *(m["key"] for m in ARGUMENT.finditer(text))} if sensitive(k)}
+    keys = [k for k in {*names, *SPACED.findall(text), *(m["key"] for m in ARGUMENT.finditer(text))} if sensitive(k)]
     if not keys and not VALUE.search(text):
         return
-    plain = [k for k in keys if not HINT.search(k.lower())]
     config = ext in CONFIG or ext == "json"
     at, n = 0, len(text)
     open_keys: list[tuple[int, str]] = []  # keys whose block is open, with their indentation
@@ -366,7 +377,7 @@ def keyed_hits(text: str, ext: str, comments: bool = False) -> Iterator[Hit]:
         while open_keys and open_keys[-1][0] >= depth and not body.lstrip().startswith(("}", ")", "]")):
             open_keys.pop()
         parent = next((k for _, k in reversed(open_keys) if sensitive(k)), "") if open_keys else ""
-        near = parent or HINT.search(line.lower()) or any(k in line for k in plain) or depth and not open_keys and "value" in line
+        near = parent or any(k in line for k in keys) or depth and not open_keys and "value" in line
         literals = list(LITERAL.finditer(line)) if (near or waiting) and any(q in line for q in "\"'`") else []
         if waiting:
             got = None
@@ -486,7 +497,8 @@ def find_credentials(text: str | None, ext: str = "") -> list[Hit]:
     if not text:
         return []
     shaped = shape_hits(text) if any(p in text for p in PARTS) else ()
-    keyed = (*config_hits(text, ext), *keyed_hits(text, ext, True)) if ext in FORMATS else keyed_hits(text, ext)
+    names = set(NAME.findall(text))
+    keyed = (*config_hits(text, ext), *keyed_hits(text, ext, names, True)) if ext in FORMATS else keyed_hits(text, ext, names)
     argued = argument_hits(text) if " -" in text else ()
     hits = sorted([*shaped, *keyed, *argued, *told_hits(text, ext)], key=lambda h: (h.start, -h.end))
     out: list[Hit] = []
