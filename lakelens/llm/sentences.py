@@ -35,11 +35,13 @@ m.sc b.sc ph.d m.a b.a d.phil u.s e.u u.k u.n j.d
 """
 # fixed values: abbreviations that may also end a sentence
 MAY_END = "etc usw uam ltd inc co corp bros jr llc gmbh p.m a.m др пр т.д т.п д.д ecc usf"
-TERMS = ".!?…。！？।؟"
+#: Terminators that end a sentence whatever the word before them: ideographic, Indic, Arabic, Urdu, Ethiopic, Armenian, Burmese, Khmer, Tibetan and others.
+HARD = "。！？।॥؟۔።፧։။។៕｡．‼⁇⁈⁉᠃᠉꓿།༎"
+TERMS = ".!?…" + HARD
 CLOSERS = ")]}\"'”’»›」』）】》*_"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "«": "»", "‹": "›", "„": "“"}
 QUOTES = set("“„«‹「『\"")
-EVENT = re.compile(r"`[^`\n]*`|\]\([^)\s]*\)|https?://[^\s<>\"」”]*[^\s<>\"」”.,;:!?。)]|[.!?…。！？।؟]+|[()\[\]{}（）【】「」『』《》“”„«»‹›\"]|[  \t]+(?=[ก-ๅ็-๛])")
+EVENT = re.compile(r"`[^`\n]*`|\]\([^)\s]*\)|https?://[^\s<>\"」”]*[^\s<>\"」”.,;:!?。)]|[.!?…" + HARD + r"]+|[()\[\]{}（）【】「」『』《》“”„«»‹›\"]|[  \t]+(?=[ก-ๅ็-๛])")
 FENCE = re.compile(r"[ \t]{0,3}(```+|~~~+)")
 HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t\xa0]|$)")
 ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦–]|\(?\d{1,3}[.)])[ \t\xa0]+(?=\S)")
@@ -49,6 +51,7 @@ MONTHS = set("januar februar märz april mai juni juli august september oktober
 JA_GOES_ON = set("とはがをにもでのや、，って")
 ZH_GOES_ON = re.compile(r"这是|这|是|审|他|她|它|说|道|问|写|的|表示|，|、|为|在.{0,12}里")
 HI_GOES_ON = re.compile(r"यह टिप्पणी|यह|कह|लिख|पूछ|ने|का|की|के|ऐसा")
+THAI = re.compile("[ก-๛]")
 CAPS_WORD = re.compile(r"[A-Z]{2,5}\b")
 
 
@@ -328,7 +331,9 @@ def segment(text: str, a: int, b: int, mark: int, lowered: bool) -> Iterator[tup
             continue
         if e == ".":
             ok = stop_ends(text, max(a, mark), at, end, nxt, b, lowered)
-        elif c in "。！？।؟" or c in "!?" and at > a and (cjk(text[at - 1]) or nxt > end) or c == "…" and len(e) > 1 and nxt == end:
+        elif c == "．" and text[at - 1 : at].isdigit() and d.isdigit():
+            ok = False
+        elif c in HARD or c in "!?" and at > a and (cjk(text[at - 1]) or nxt > end) or c == "…" and len(e) > 1 and nxt == end:
             ok = d not in ",;，、；：:" and not (c in "!?！？" and d in "—–") and not (c == "…" and d in JA_GOES_ON)
             if ok and c in "!?" and nxt == end and not cjk(d):
                 ok = False
@@ -356,7 +361,7 @@ def _thai_gap(text: str, at: int, nxt: int, start: int) -> bool:
     p = text[at - 1]
     if "ก" <= p <= "๛":
         return True
-    return p in "`)\"”'’»]%…!?" or p.isdigit() and any("ก" <= c <= "๛" for c in text[max(start, at - 40) : at])
+    return p in "`)\"”'’»]%…!?" or p.isdigit() and THAI.search(text, start, at) is not None
 
 
 def is_lowered(text: str) -> bool:

@@ -6,7 +6,7 @@ start gives all greedy cuts in a logarithmic number of array steps, not one afte
 An item is one row, so nothing is shuffled; only items over the limit reach Python.
 
 Boundaries: line ends first, then the ends of words and marks, then, in stretches without
-either, a grid that keeps combining characters together. A piece ends at the farthest line
+either, a grid that keeps combining characters together (up to an eighth of the limit). A piece ends at the farthest line
 end in the second half of its window if there is one, else at the farthest other boundary.
 The next piece starts overlap_size before that end, or up to a quarter of it later if a line
 (else a word) starts there.
@@ -37,12 +37,15 @@ def boundaries(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     lines = np.fromiter((m.end() for m in re.finditer("\n", text)), np.int64)
     every = np.unique(np.concatenate([lines, np.fromiter((m.start() for m in WORD_END.finditer(text)), np.int64), [0, n]]))
     step = max(1, size // 8)
+    most = step if size > 1 else 0  # so that every window has a boundary inside
     grid = []
     for k in np.flatnonzero(np.diff(every) > step):
-        for p in range(int(every[k]) + step, int(every[k + 1]), step):
-            while p < every[k + 1] and unicodedata.combining(text[p]):
-                p += 1
-            grid.append(p)
+        stop = int(every[k + 1])
+        for p in range(int(every[k]) + step, stop, step):
+            q = p
+            while q < stop and q - p < most and unicodedata.combining(text[q]):
+                q += 1
+            grid.append(p if q < stop and unicodedata.combining(text[q]) else q)
     return np.append(lines, n), np.unique(np.concatenate([every, np.array(grid, np.int64)]))
 
 
@@ -72,23 +75,7 @@ def cut(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     by_line = lines[np.maximum(np.searchsorted(lines, high, "right") - 1, 0)]
     far = every[np.searchsorted(every, high, "right") - 1]
     reach = np.where((by_line > np.maximum(every, start + size // 2)) & (by_line <= high), by_line, far)
-    reach = np.where(reach > every, reach, np.minimum(high, n))
-    succ = np.searchsorted(every, reach)
-    bad = every[np.minimum(succ, len(every) - 1)] != reach
-    if bad.any():  # only where the grid could not put a boundary: combining characters beyond the window
-        every = np.unique(np.concatenate([every, reach[bad]]))
-        return _with(text, size, overlap, lines, every)
-    return _follow(every, start, succ)
-
-
-def _with(text: str, size: int, overlap: int, lines: np.ndarray, every: np.ndarray) -> list[tuple[int, int]]:
-    out, at, n = [], 0, len(text)
-    while True:
-        end = min(at + size, n)
-        out.append((at, end))
-        if end == n:
-            return out
-        at = end - overlap
+    return _follow(every, start, np.searchsorted(every, reach))
 
 
 def _follow(every: np.ndarray, start: np.ndarray, succ: np.ndarray) -> list[tuple[int, int]]:
@@ -108,9 +95,15 @@ def _follow(every: np.ndarray, start: np.ndarray, succ: np.ndarray) -> list[tupl
 def _splitter(with_text: bool):
     def make():
         def one(kind, item, text, first_line, size, overlap):
-            for k, (a, b) in enumerate(cut(text, size, overlap or 0)):
-                line = (first_line or 1) + text.count("\n", 0, a)
-                yield kind, item, k, a, b, line, line + text.count("\n", a, b - 1), text[a:b] if with_text else None
+            found = cut(text, size, overlap or 0)
+            if not with_text:
+                yield from ((kind, item, k, a, b, None, None, None) for k, (a, b) in enumerate(found))
+                return
+            breaks = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
+            first = np.searchsorted(breaks, [a for a, _ in found]) + (first_line or 1)
+            last = np.searchsorted(breaks, [b - 1 for _, b in found]) + (first_line or 1)
+            for k, (a, b) in enumerate(found):
+                yield kind, item, k, a, b, int(first[k]), int(last[k]), text[a:b]
 
         return one
 
@@ -127,7 +120,7 @@ def oversized(symbols: DataFrame, sources: DataFrame, limits: DataFrame) -> Data
 
 
 def pieces(symbols: DataFrame, sources: DataFrame, limits: DataFrame, with_text: bool = True) -> DataFrame:
-    """Ordered pieces of every oversized item with their ranges and lines."""
+    """Ordered pieces of every oversized item with their ranges; with their lines and texts, too, if these are asked for."""
     return map_rows(oversized(symbols, sources, limits), _splitter(with_text), PIECES)
 
 

@@ -224,8 +224,10 @@ ANSWERS = [
 
 
 def test_pairs(spark):
-    df = spark.createDataFrame([(k, QUESTION, a, 1) for k, (a, _) in enumerate(ANSWERS)] * 2 + [(900, None, "Fine.", 1)], "qa_id long, question string, answer_text string, salt int")
+    again = [(1000 + 10 * k + n, f"What does the {w} of a rule keep?", a, 1) for k, (a, d) in enumerate(ANSWERS) if d == "refusal" for n, w in enumerate(("name", "body", "place"))]  # refusals recur across prompts
+    df = spark.createDataFrame([(k, QUESTION, a, 1) for k, (a, _) in enumerate(ANSWERS)] * 2 + [(900, None, "Fine.", 1)] + again, "qa_id long, question string, answer_text string, salt int")
     got = {r.qa_id: r.defect for r in qa_defects.defects(df).collect()}
+    assert {got.pop(k) for k, *_ in again} == {"refusal"}
     assert got == {k: d for k, (_, d) in enumerate(ANSWERS) if d}
     assert qa_defects.defects(df.limit(0)).count() == 0
 
@@ -239,14 +241,15 @@ def test_template_reworded_step_by_step(spark):
         chain.append(" ".join(words))
     apart = [len(qa_defects.shingles(x) & qa_defects.shingles(y)) / len(qa_defects.shingles(x) | qa_defects.shingles(y)) for x, y in zip(chain, [*chain[1:], chain[0]], strict=True)]
     assert min(apart[:-1]) >= qa_defects.SIMILAR > apart[-1]
-    rows = [(x, f"prompt {k}", k == 0) for k, x in enumerate(chain)]
-    local = spark.createDataFrame([*rows, ("something else altogether", "prompt 9", False)], "opening string, prompt string, declines boolean")
+    rows = [(x, f"prompt {k}") for k, x in enumerate(chain)]
+    local = spark.createDataFrame([*rows, ("something else altogether", "prompt 9")], "opening string, prompt string")
     assert {r.opening for r in qa_defects.templates(local).collect()} == set(chain)
 
 
 def test_templates_need_recurrence_and_similarity(spark):
     rows = [(k, f"Why does `f{k}` fail in {'abcdefgh'[k]} mode?", f"There is nothing I can say about this from what I was given in case {k}.") for k in range(6)]
-    local = qa_defects.map_rows(spark.createDataFrame(rows, "qa_id long, question string, answer_text string"), qa_defects._local, qa_defects.LOCAL)
+    known = spark.sparkContext.broadcast(frozenset())
+    local = qa_defects.map_rows(spark.createDataFrame(rows, "qa_id long, question string, answer_text string"), qa_defects._local(known), qa_defects.LOCAL)
     assert [r.opening for r in qa_defects.templates(local).collect()] == ["there is nothing i can say about this from what i was given in case 0."]
     assert qa_defects.templates(local.limit(1)).count() == 0
 
