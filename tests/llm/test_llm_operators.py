@@ -265,12 +265,16 @@ def encode():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(["the scanner ", "can't ", "\n\n", "  ", " 12,5.", "`x_y()`", "漢字。", "กฎ", "<|endoftext|>", "é!", "\t", "''", " 's", "'ll"]), st.text(max_size=12)), max_size=60))
 def test_reuse_equals_direct(parts):
-    encode = tokens.encoder() if not hasattr(test_reuse_equals_direct, "e") else test_reuse_equals_direct.e
-    test_reuse_equals_direct.e = encode
+    encode, pattern = tokens.parts() if not hasattr(test_reuse_equals_direct, "e") else test_reuse_equals_direct.e
+    test_reuse_equals_direct.e = encode, pattern
     text = "".join(parts).encode("utf-8", "ignore").decode()
-    reuse = tokens.Reuse(encode)
+    reuse = tokens.Reuse(encode, pattern)
     assert reuse.ids(text) == encode(text)
     assert reuse.ids(text * 3) == encode(text * 3)
+    again = tokens.Reuse(encode, pattern)
+    again.ids(text * 3)
+    first = again.reused
+    assert again.ids(text * 3) == encode(text * 3) and again.reused == first + len(text * 3)
 
 
 def test_tokens_frame(spark, encode):
