@@ -135,10 +135,55 @@ def test_dedup_regions(spark):
 
 
 def test_hybrid_first_list_wins(spark):
-    a = spark.createDataFrame([(1, 10, 0.2)], "query_id long, item_id long, score double")
-    b = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.5)], "query_id long, item_id long, score double")
+    a = spark.createDataFrame([(1, 10, 0.2, "f:1"), (1, 12, 0.2, "f:1")], "query_id long, item_id long, score double, spot string")
+    b = spark.createDataFrame([(1, 70, 0.9, "f:1"), (1, 71, 0.5, "g:1")], "query_id long, item_id long, score double, spot string")
     got = [(r.item_id, r.score, r.place) for r in search.hybrid(a, b).orderBy("place").collect()]
-    assert got == [(11, 0.5, 1), (10, 0.2, 2)]
+    assert got == [(71, 0.5, 1), (10, 0.2, 2)]
+
+
+def test_deep_retrieval_appends_without_ranking(spark):
+    hits = spark.createDataFrame([(1, 5, 0.3, 1), (1, 6, 0.1, 2)], "query_id long, item_id long, score double, place int")
+    named = spark.createDataFrame([(1, 6, 1), (1, 8, 2), (1, 7, 1), (1, 7, 3)], "query_id long, item_id long, word_no int")
+    got = [(r.item_id, r.score) for r in search.deep_retrieval(hits, named, 3).orderBy("place").collect()]
+    assert got == [(5, 0.3), (6, 0.1), (7, 0.5)]
+
+
+def test_searches_in_many_blocks_equal_one_block(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["load", "rows", "scan_file", "of", "a", "Token", "merge"]
+    items = spark.createDataFrame([(k, rng.choice(words) if k % 9 else None, " ".join(rng.choice(words) for _ in range(6)) if k % 7 else None) for k in range(90)], "item_id long, name string, text string")
+    asked = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(3)), rng.choice(["n_f", "oad", "x%z"])) for k in range(20)] + [(50, None, None), (51, "", "")], "query_id long, text string, word string")
+    symbols = items.withColumnRenamed("text", "search_text").withColumn("qualified", F.concat_ws(".", "name", "name"))
+    run = lambda: [sorted(map(tuple, f.collect())) for f in (search.keyword_search(asked, items, 4), search.symbol_search(asked, symbols, 0.3, 4))]
+    want = run()
+    monkeypatch.setattr(search, "ITEM_ROWS", 13)
+    monkeypatch.setattr(search, "QUERY_ROWS", 5)
+    assert run() == want and all(want)
+    assert search.keyword_search(asked.limit(0), items).count() == 0 and search.keyword_search(asked, items.limit(0)).count() == 0
+    bodies = {}
+    for r in items.collect():
+        bodies.setdefault((r.name, r.text), r.item_id)
+    for q in asked.collect():
+        w = list(dict.fromkeys((q.text or "").lower().split()))
+        score = {i: (sum(x in (t or "").lower() for x in w) + 2 * any(x in (n or "").lower() for x in w)) / len(w) for (n, t), i in bodies.items()} if w else {}
+        best = sorted((i for i in score if score[i] > 0), key=lambda i: (-round(score[i], 12), i))[:4]
+        assert [i for _, i in sorted((r[3], r[1]) for r in want[0] if r[0] == q.query_id)] == best
+
+
+def test_keywords_equal_a_plain_search(spark):
+    import re
+
+    texts = ["Where is `load_rows()` in src/api/a.tsx and App\\Http\\Kernel?", "Wo lädt groupChunkCitation die Größe_Liste?", "関数foo_barはHTTP2Serverで__init__を呼ぶ", "v2 and x9y: the IO of A.b.C::d", "", "is it a of"]
+    want = []
+    for t in texts:
+        found = lambda p, t=t: re.findall(p, t)
+        paths, qualified, camel, snake = (found(p) for p in (search.PATHS, search.QUALIFIED, search.CAMEL, search.SNAKE))
+        every = paths + [re.search(r"([^/\\]*)\.[^.]*$", x)[1] for x in paths] + qualified + [y for x in qualified for y in re.split(r"::|\\|\.", x) if len(y) > 1]
+        every += found(search.DUNDERS) + found(search.NUMBERED) + found(search.CAPITALS) + camel + [y for x in camel for y in re.findall("[A-Z]?[a-z]+", x) if len(y) > 2] + snake + [y for x in snake for y in x.split("_") if len(y) > 2] + [x for x in found(search.PLAIN) if len(x) > 2]
+        kept = {x for x in every if x and x.lower() not in search.STOP}
+        want.append(sorted(kept, key=lambda x: (-len(x), x.lower(), x))[:10])
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", search.keywords(F.col("t")).alias("w")).orderBy("k").collect()
+    assert [r.w for r in got] == want
 
 
 def test_vector_search_is_exact(spark):
@@ -189,6 +234,6 @@ def test_keywords_of_all_questions(spark, tmp_path):
     from lakelens.plans import registry
 
     spark.createDataFrame([(1, "Où est loadRows défini?"), (2, "索引 load_rows 在哪里"), (3, None), (4, "parse")], "qa_id long, question string").write.parquet(f"{tmp_path}/qa_results.parquet")
-    got = {r.qa_id: set(r.keywords.split(" | ")) for r in registry.queries()["f14_all_keywords"](spark, str(tmp_path)).collect()}
+    got = {r.qa_id: set(r.keywords.split(" | ")) for r in registry.queries()["f14_keywords"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 4} and got[4] == {"parse"}
     assert "loadRows" in got[1] and {"load_rows", "load", "rows"} <= got[2]
