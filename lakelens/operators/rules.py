@@ -186,12 +186,12 @@ def forbidden_lines(files: DataFrame, checks: list[Check] = CHECKS) -> DataFrame
 
 
 def first_line(text: Column, pattern: str) -> Column:
-    numbers = F.transform(X.lines_nl(text), lambda x, i: F.when(x.rlike(pattern), i + 1))
-    return F.get(F.filter(numbers, lambda i: i.isNotNull()), F.lit(0))
+    """Line of the first match of a pattern that matches inside lines only."""
+    return X.newlines(F.split(text, pattern, 2)[0]) + 1
 
 
 def missing_required(files: DataFrame, checks: list[Check] = CHECKS) -> DataFrame:
-    """The first line of each pattern in files that have one and lack everything required with it."""
+    """The first line of each pattern in files that have one and lack everything required with it. Each pattern is tried on the whole text, up to its first match."""
     text = F.col("content")
     out = []
     for c in checks:
@@ -201,7 +201,51 @@ def missing_required(files: DataFrame, checks: list[Check] = CHECKS) -> DataFram
         for p in c.required:
             lacks = lacks & ~text.rlike("(?i)" + p)
         for k, p in enumerate(c.patterns):
-            first = first_line(text, "(?i)" + p)
-            out.append(F.when(text.rlike("(?i)" + p) & lacks, F.struct(F.lit(c.check_id).alias("check_id"), F.lit(k).alias("pattern_no"), first.alias("line_no"))))
+            out.append(F.when(text.rlike("(?i)" + p) & lacks, F.struct(F.lit(c.check_id).alias("check_id"), F.lit(k).alias("pattern_no"), first_line(text, "(?i)" + p).alias("line_no"))))
     got = files.where(X.is_code(F.col("file_path"))).select("snapshot_id", "file_path", F.explode(F.array_compact(F.array(*out))).alias("f"))
-    return got.where("f.line_no IS NOT NULL").select("snapshot_id", "file_path", "f.check_id", "f.pattern_no", "f.line_no")
+    return got.select("snapshot_id", "file_path", "f.check_id", "f.pattern_no", "f.line_no")
+
+
+def is_migration(path: Column) -> Column:
+    return F.lower(path).contains("migrations/") & path.endswith(".php")
+
+
+def is_route_file(path: Column) -> Column:
+    return F.lower(path).contains("routes/") & path.endswith(".php")
+
+
+def migration_findings(files: DataFrame) -> DataFrame:
+    """Destructive changes, in migration files only, with the table or column they name."""
+    return line_findings(files.where(is_migration(F.col("file_path"))), MIGRATION_RULES, group=1)
+
+
+def removed_access_checks(files: DataFrame) -> DataFrame:
+    """Access checks taken off a route, in route files only."""
+    return line_findings(files.where(is_route_file(F.col("file_path"))), [AUTH_RULE], group=1)
+
+
+# fixed values: regulations with the regions and sectors they hold in, and the checks that belong to them
+REGULATIONS = [
+    ("GDPR", "eu uk global", "all"), ("CCPA", "us", "all"), ("HIPAA", "us", "healthcare"), ("PCI_DSS", "global", "finance ecommerce"),
+    ("SOC2", "global", "saas finance"), ("DPDP", "india", "all"), ("LGPD", "brazil", "all"), ("PDPA_SG", "singapore", "all"),
+]
+CHECK_REGULATIONS = {
+    "DP001": "GDPR CCPA DPDP LGPD", "DP002": "GDPR", "DP003": "GDPR CCPA", "SEC001": "PCI_DSS HIPAA SOC2", "SEC002": "PCI_DSS HIPAA SOC2", "SEC003": "PCI_DSS", "SEC004": "HIPAA SOC2",
+    "SEC005": "HIPAA PCI_DSS SOC2", "RET001": "GDPR CCPA DPDP", "INT001": "GDPR DPDP", "BRE001": "GDPR HIPAA CCPA", "HIP001": "HIPAA", "AI001": "GDPR EU_AI_ACT",
+}
+
+
+def applicable_regulations(requests: DataFrame) -> DataFrame:
+    """requests(region, sector) -> one row for each regulation that holds there; the region `global` meets all of them."""
+    code = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.array(*map(F.lit, r.split())).alias("regions"), F.array(*map(F.lit, s.split())).alias("sectors")) for c, r, s in REGULATIONS])).alias("r")
+    got = requests.select("*", code)
+    region = F.array_contains("r.regions", F.col("region")) | F.array_contains("r.regions", "global") | (F.col("region") == "global")
+    sector = F.array_contains("r.sectors", F.col("sector")) | F.array_contains("r.sectors", "all")
+    return got.where(region & sector).select(*requests.columns, F.col("r.code").alias("code"))
+
+
+def applicable_checks(regulations: DataFrame, by: list[str]) -> DataFrame:
+    """regulations(code, ...) -> the checks that share a regulation with each group, once: overlap of sets as an equi-join on members."""
+    spark = regulations.sparkSession
+    members = spark.createDataFrame([(k, c) for k, codes in CHECK_REGULATIONS.items() for c in codes.split()], "check_id string, code string")
+    return regulations.join(members, "code").select(*by, "check_id").distinct()

@@ -72,7 +72,45 @@ def bounds(spark, d):
     return j.select("source_row_id", F.coalesce("here", F.lit(False)).alias("file_known"), F.coalesce(ok, F.lit(False)).alias("in_bounds"))
 
 
-@query("a8_claimed_tiers", """
-SELECT confidence_tier, has_sufficient_evidence, count(*) AS answers, sum(len(coalesce(unknowns, [])))::BIGINT AS unknowns FROM qa_results GROUP BY 1, 2""")
-def claimed(spark, d):
-    return table(spark, d, "qa_results").groupBy("confidence_tier", "has_sufficient_evidence").agg(F.count(F.lit(1)).alias("answers"), F.sum(F.size(F.coalesce("unknowns", F.array()))).alias("unknowns"))
+PARSED = r"""
+o AS (SELECT qa_id, answer_text, regexp_extract(answer_text, '\{.*\}', 0, 's') AS j FROM qa_results WHERE answer_text IS NOT NULL),
+v AS (SELECT *, j <> '' AND json_valid(j) AS ok FROM o),
+t AS (SELECT qa_id, ok, CASE WHEN ok THEN list_transform(json_extract(j, '$.sections[*].source_ids[*]'), lambda x: x::VARCHAR) ELSE [] END AS ids, CASE WHEN ok THEN coalesce(json_array_length(j, '$.unknowns'), 0) ELSE 0 END AS unknowns FROM v)"""
+
+
+@query("a8_derived_tiers", f"""
+WITH {PARSED} SELECT qa_id, ok AS parsed, len(ids)::INTEGER AS citations, len(list_distinct(ids))::INTEGER AS sources, unknowns::INTEGER AS unknowns,
+CASE WHEN unknowns > 0 AND len(ids) = 0 THEN 'insufficient' WHEN len(ids) >= 3 AND len(list_distinct(ids)) >= 2 THEN 'high' WHEN len(ids) >= 1 THEN 'medium' ELSE 'low' END AS tier FROM t""")
+def derived(spark, d):
+    """The tier of every answer by its own citations; an answer that is no JSON counts as plain text."""
+    return answers.derived_tiers(table(spark, d, "qa_results"))
+
+
+@query("f20_plain_answers", f"""
+WITH {PARSED} SELECT v.qa_id, v.ok AS parsed, CASE WHEN v.ok THEN NULL WHEN length(answer_text) > 200 THEN left(answer_text, 200) ELSE answer_text END AS summary FROM v""")
+def plain_answers(spark, d):
+    """The outermost braces of an answer if they hold JSON, else its text with a summary of 200 characters."""
+    return answers.parsed_or_plain(table(spark, d, "qa_results")).select("qa_id", "parsed", "summary")
+
+
+VALIDATED = f"""
+{CHECKED}, p AS (SELECT qa_id, from_json(answer_text, '{{"sections":[{{"text":"VARCHAR","source_ids":["INTEGER"]}}],"unknowns":["VARCHAR"]}}') AS a FROM qa_results WHERE json_valid(answer_text) AND starts_with(trim(answer_text), '{{') AND json_type(answer_text, '$.sections') = 'ARRAY'),
+x AS (SELECT qa_id, unnest(a.sections) AS section, (generate_subscripts(a.sections, 1) - 1)::INTEGER AS section_no FROM p), k AS (SELECT qa_id, list(DISTINCT source_index) AS known FROM retrieved_sources GROUP BY 1),
+y AS (SELECT x.qa_id, section_no, coalesce(section.text, '') AS text, coalesce(section.source_ids, []) AS ids, list_filter(coalesce(section.source_ids, []), lambda i: list_contains(coalesce(known, []), i)) AS good FROM x LEFT JOIN k USING (qa_id)),
+z AS (SELECT qa_id, section_no, count(*) AS quotes, count(*) FILTER (verdict = 'verified') AS verified FROM (SELECT DISTINCT y.qa_id, section_no, c.span_no, c.verdict FROM y JOIN c ON c.qa_id = y.qa_id AND list_contains(y.good, c.source_index) WHERE c.quote <> '') GROUP BY 1, 2)"""
+
+
+@query("a6_validated_sections", f"""
+WITH {VALIDATED} SELECT y.qa_id, y.section_no, len(ids)::INTEGER AS cited, (len(ids) - len(good))::INTEGER AS invalid, coalesce(quotes, 0) AS quotes, coalesce(verified, 0) AS verified,
+CASE WHEN text = '' THEN 'no_text' WHEN len(ids) = 0 THEN 'no_sources' WHEN len(good) = 0 THEN 'invalid_sources' WHEN coalesce(quotes, 0) = 0 THEN 'unverified' WHEN verified > 0 THEN 'verified' ELSE 'rejected' END AS verdict FROM y LEFT JOIN z ON z.qa_id = y.qa_id AND z.section_no = y.section_no""")
+def validated(spark, d):
+    """Sections with the quotes of the sources they cite: kept as verified or unverified, or dropped with the reason."""
+    return answers.validated_sections(table(spark, d, "qa_results"), table(spark, d, "retrieved_sources"))
+
+
+@query("a11_degraded_answers", f"""
+WITH {PARSED}, r AS (SELECT qa_id, list_sort(list(DISTINCT source_index))[:3] AS first FROM retrieved_sources WHERE source_index IS NOT NULL GROUP BY 1)
+SELECT t.qa_id, 'none' AS tier, array_to_string(coalesce(first, []), ',') AS shown FROM t LEFT JOIN r USING (qa_id) WHERE NOT ok""")
+def degraded(spark, d):
+    """Answers that are no JSON, shown as their first three sources."""
+    return answers.degraded(table(spark, d, "qa_results"), table(spark, d, "retrieved_sources"))

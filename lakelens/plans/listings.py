@@ -7,6 +7,7 @@ from ..functions import text as X
 from ..operators import graph
 from .graph import IMPORTS
 from .registry import query, quoted, table
+from .rules import REDACT
 
 
 @query("pf17_repository_search", """
@@ -114,9 +115,11 @@ def visibilities(spark, d):
     return table(spark, d, "symbols").groupBy(v.alias("visibility")).agg(F.count(F.lit(1)).alias("symbols"))
 
 
-@query("f12_redacted_snippets", "SELECT DISTINCT match_id, regexp_replace(snippet, 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g') AS snippet FROM finding_matches WHERE contains(snippet, 'AKIA')")
+@query("f12_redacted_snippets", f"WITH m AS (SELECT DISTINCT match_id, snippet AS t FROM finding_matches) SELECT match_id, {REDACT} AS snippet FROM m")
 def redacted(spark, d):
-    return table(spark, d, "finding_matches").where(F.col("snippet").contains("AKIA")).select("match_id", F.regexp_replace("snippet", "AKIA[0-9A-Z]{16}", "[REDACTED]").alias("snippet")).distinct()
+    """Every snippet through all token shapes."""
+    m = table(spark, d, "finding_matches").select("match_id", "snippet").distinct()
+    return m.select("match_id", X.redact_tokens(F.col("snippet")).alias("snippet"))
 
 
 @query("g9_symbol_search", f"""

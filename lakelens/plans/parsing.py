@@ -43,13 +43,20 @@ def plain_outline(spark, d):
 
 @query("pl13_added_lines", """
 WITH t AS (SELECT snapshot_id AS patch_id, string_split(content, chr(10)) AS ls, 1 + snapshot_id % 50 AS s FROM source_files),
-l AS (SELECT patch_id, s, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM t)
-SELECT patch_id, (s + n - 1)::INTEGER AS line_no FROM l WHERE NOT starts_with(line, '++') """)
+l AS (SELECT patch_id, s, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM t),
+k AS (SELECT *, CASE n % 3 WHEN 0 THEN ' ' WHEN 1 THEN '+' ELSE '-' END AS mark, n > 10 AS second FROM l),
+c AS (SELECT *, sum(CASE WHEN mark = '-' THEN 0 ELSE 1 END) OVER (PARTITION BY patch_id, second ORDER BY n) AS moved FROM k)
+SELECT patch_id, (s + (CASE WHEN second THEN 500 ELSE 0 END) + moved - 1)::INTEGER AS line_no FROM c WHERE mark = '+' AND NOT starts_with(line, '++')""")
 def added_lines(spark, d):
-    """Each file as a patch that adds all its lines behind a hunk head with a varying start."""
+    """Each file as a patch of two hunks, whose lines are added, removed and left in turn."""
     f = table(spark, d, "source_files")
-    head = F.concat(F.lit("@@ -0,0 +"), (1 + F.col("snapshot_id") % 50).cast("string"), F.lit(",9 @@\n+"))
-    return parsing.added_lines(f.select(F.col("snapshot_id").alias("patch_id"), F.concat(head, F.replace("content", F.lit("\n"), F.lit("\n+"))).alias("patch")))
+    mark = lambda i: F.when((i + 1) % 3 == 0, " ").when((i + 1) % 3 == 1, "+").otherwise("-")
+    marked = F.transform(F.split("content", "\n", -1), lambda x, i: F.concat(mark(i), x))
+    start = 1 + F.col("snapshot_id") % 50
+    head = lambda n: F.array(F.concat(F.lit("@@ -7,9 +"), n.cast("string"), F.lit(",9 @@ def f():")))
+    f = f.select("snapshot_id", start.alias("s"), marked.alias("m"))
+    hunks = F.concat(head(F.col("s")), F.slice("m", 1, 10), F.when(F.size("m") > 10, F.concat(head(F.col("s") + 500), F.slice("m", 11, F.greatest(F.size("m") - 10, F.lit(1))))).otherwise(F.array().cast("array<string>")))
+    return parsing.added_lines(f.select(F.col("snapshot_id").alias("patch_id"), F.array_join(hunks, "\n").alias("patch")))
 
 
 @query("pl1_python_symbols")

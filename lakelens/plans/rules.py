@@ -63,32 +63,38 @@ def scan_offsets(spark, d):
 MIGRATION = " UNION ALL ".join(f"SELECT snapshot_id, line_no, '{r.rule_id}' AS rule_id, regexp_extract(line, {sql_text(r.pattern)}, 1) AS target FROM l WHERE regexp_matches(line, {sql_text(r.pattern)})" for r in rules.MIGRATION_RULES)
 
 
+MIGRATED = "SELECT snapshot_id, CASE WHEN snapshot_id % 3 < 2 THEN 'database/Migrations/' ELSE '' END || file_path AS file_path, content || chr(10) || 'Schema::dropIfExists(''t_' || substring(sha256(file_path), 1, 6) || ''');' || chr(10) || '$table->renameColumn(''a'', ''b'');' AS content FROM source_files"
+
+
 @query("r12_migrations", f"""
-WITH f AS (SELECT snapshot_id, content || chr(10) || 'Schema::dropIfExists(''t_' || substring(sha256(file_path), 1, 6) || ''');' || chr(10) || '$table->renameColumn(''a'', ''b'');' AS content FROM source_files WHERE ends_with(file_path, '.php')),
+WITH f AS (SELECT * FROM ({MIGRATED}) WHERE contains(lower(file_path), 'migrations/') AND ends_with(file_path, '.php')),
 l AS (SELECT snapshot_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_no FROM f) {MIGRATION}""")
 def migrations(spark, d):
-    """The tables hold no migrations, so each PHP file gets two destructive lines behind its own."""
+    """The tables hold no migrations, so two files of three are taken for some, and all get two destructive lines behind their own."""
     tail = F.concat(F.lit("\nSchema::dropIfExists('t_"), F.substring(F.sha2("file_path", 256), 1, 6), F.lit("');\n$table->renameColumn('a', 'b');"))
-    f = table(spark, d, "source_files").where(F.col("file_path").endswith(".php")).withColumn("content", F.concat("content", tail))
-    return rules.line_findings(f, rules.MIGRATION_RULES, group=1).select("snapshot_id", "line_no", "rule_id", F.col("hit").alias("target"))
+    f = table(spark, d, "source_files").withColumn("content", F.concat("content", tail)).withColumn("file_path", F.concat(F.when(F.col("snapshot_id") % 3 < 2, "database/Migrations/").otherwise(""), "file_path"))
+    return rules.migration_findings(f).select("snapshot_id", "line_no", "rule_id", F.col("hit").alias("target"))
 
 
 @query("r13_auth_removed", f"""
-WITH f AS (SELECT snapshot_id, content || chr(10) || 'Route::get("/x")->withoutMiddleware("' || (CASE WHEN length(file_path) % 2 = 0 THEN 'Auth' ELSE 'throttle' END) || '");' AS content FROM source_files WHERE ends_with(file_path, '.php')),
+WITH r AS (SELECT snapshot_id, CASE WHEN snapshot_id % 4 < 3 THEN 'routes/' ELSE '' END || file_path AS file_path, content || chr(10) || 'Route::get("/x")->withoutMiddleware("' || (CASE WHEN length(file_path) % 2 = 0 THEN 'Auth' ELSE 'throttle' END) || '");' AS content FROM source_files),
+f AS (SELECT * FROM r WHERE contains(lower(file_path), 'routes/') AND ends_with(file_path, '.php')),
 l AS (SELECT snapshot_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_no FROM f)
 SELECT snapshot_id, line_no, regexp_extract(line, {sql_text(rules.AUTH_RULE.pattern)}, 1) AS middleware FROM l WHERE regexp_matches(line, {sql_text(rules.AUTH_RULE.pattern)})""")
 def auth_removed(spark, d):
+    """Three files of four are taken for route files, and all get a route without its check behind their own text."""
     tail = F.concat(F.lit('\nRoute::get("/x")->withoutMiddleware("'), F.when(F.length("file_path") % 2 == 0, "Auth").otherwise("throttle"), F.lit('");'))
-    f = table(spark, d, "source_files").where(F.col("file_path").endswith(".php")).withColumn("content", F.concat("content", tail))
-    return rules.line_findings(f, [rules.AUTH_RULE], group=1).select("snapshot_id", "line_no", F.col("hit").alias("middleware"))
+    f = table(spark, d, "source_files").withColumn("content", F.concat("content", tail)).withColumn("file_path", F.concat(F.when(F.col("snapshot_id") % 4 < 3, "routes/").otherwise(""), "file_path"))
+    return rules.removed_access_checks(f).select("snapshot_id", "line_no", F.col("hit").alias("middleware"))
 
 
 @query("r21_untimed_requests", """
-WITH t AS (SELECT snapshot_id, file_path, content || chr(10) || 'requests.get(u, timeout=3)' || chr(10) || '  requests.post(u)' AS content FROM source_files WHERE ends_with(file_path, '.py')),
+WITH t AS (SELECT snapshot_id, file_path, content || chr(10) || 'requests.get(u, timeout=3)' || chr(10) || '  requests.post(u)' AS content FROM source_files),
 l AS (SELECT snapshot_id, file_path, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1)::INTEGER AS line_no FROM (SELECT snapshot_id, file_path, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS c FROM t))
 SELECT snapshot_id, file_path, line_no, trim(line) AS snippet FROM l WHERE contains(line, 'requests.') AND contains(line, '(') AND NOT contains(line, 'timeout=')""")
 def untimed(spark, d):
-    f = table(spark, d, "source_files").where(F.col("file_path").endswith(".py")).withColumn("content", F.concat("content", F.lit("\nrequests.get(u, timeout=3)\n  requests.post(u)")))
+    """Files of every kind, each with one call that has a timeout and one that has none behind its own text."""
+    f = table(spark, d, "source_files").withColumn("content", F.concat("content", F.lit("\nrequests.get(u, timeout=3)\n  requests.post(u)")))
     return rules.untimed_requests(f)
 
 
@@ -150,3 +156,36 @@ def evidence(spark, d):
     n = F.least(F.lit(12), F.greatest(F.lit(0), F.least(F.col("end_line"), F.size("lines")) - first + 1))
     cut = X.redact_tokens(F.array_join(F.slice("lines", first, n), "\n"))
     return f.select("match_id", X.cap(cut, 800).alias("snippet"))
+
+
+REQUESTS = "SELECT region, sector FROM (SELECT unnest(['eu', 'us', 'india', 'brazil', 'singapore', 'global', 'mars']) AS region), (SELECT unnest(['all', 'healthcare', 'finance', 'saas', 'ecommerce', 'education']) AS sector)"
+_RULES = ", ".join(f"('{c}', [{quoted(r.split())}], [{quoted(s.split())}])" for c, r, s in rules.REGULATIONS)
+REGULATED = f"q AS ({REQUESTS}), g(code, regions, sectors) AS (VALUES {_RULES}), a AS (SELECT region, sector, code FROM q, g WHERE (list_contains(regions, region) OR list_contains(regions, 'global') OR region = 'global') AND (list_contains(sectors, sector) OR list_contains(sectors, 'all')))"
+
+
+def requests(spark):
+    regions, sectors = ("eu", "us", "india", "brazil", "singapore", "global", "mars"), ("all", "healthcare", "finance", "saas", "ecommerce", "education")
+    return spark.createDataFrame([(r, s) for r in regions for s in sectors], "region string, sector string")
+
+
+@query("j7_regulations", f"WITH {REGULATED} SELECT * FROM a")
+def regulations(spark, d):
+    """Regulations that hold in each of some regions and sectors."""
+    return rules.applicable_regulations(requests(spark))
+
+
+_MEMBERS = ", ".join(f"('{k}', '{c}')" for k, codes in rules.CHECK_REGULATIONS.items() for c in codes.split())
+
+
+@query("j8_checks_of_regulations", f"WITH {REGULATED}, m(check_id, code) AS (VALUES {_MEMBERS}) SELECT DISTINCT region, sector, check_id FROM a JOIN m USING (code)")
+def checks_of_regulations(spark, d):
+    return rules.applicable_checks(rules.applicable_regulations(requests(spark)), ["region", "sector"])
+
+
+@query("r27_findings_by_regulation", f"""
+WITH l AS ({LINES} WHERE {CODE}), f AS ({FORBIDDEN}), m(check_id, code) AS (VALUES {_MEMBERS}) SELECT code, check_id, count(DISTINCT snapshot_id) AS files, count(*) AS lines FROM f JOIN m USING (check_id) GROUP BY 1, 2""")
+def by_regulation(spark, d):
+    """Forbidden lines under every regulation that their check belongs to."""
+    found = rules.forbidden_lines(table(spark, d, "source_files")).groupBy("check_id", "snapshot_id").agg(F.count(F.lit(1)).alias("lines"))
+    members = spark.createDataFrame([(k, c) for k, codes in rules.CHECK_REGULATIONS.items() for c in codes.split()], "check_id string, code string")
+    return found.groupBy("check_id").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines")).join(members, "check_id").select("code", "check_id", "files", "lines")
