@@ -39,6 +39,19 @@ def suffix(path) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"^.+(\.[^.]*)$", 1))
 
 
+def strip_end(text, chars: str) -> Column:
+    """Without any of some characters at the end, in whatever order they stand there."""
+    return F.rtrim(text, F.lit(chars))
+
+
+def strip_start(text, chars: str) -> Column:
+    return F.ltrim(text, F.lit(chars))
+
+
+def strip_both(text, chars: str) -> Column:
+    return F.trim(text, F.lit(chars))
+
+
 def newlines(text) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 

@@ -83,3 +83,72 @@ def stepped_confidence(level: Column, steps: int | Column) -> Column:
 def safety_score(severity: Column) -> Column:
     """Aggregate: 100 less the weights of all findings, not below zero."""
     return F.greatest(F.lit(0), F.lit(100) - F.sum(F.coalesce(mapped(SAFETY, severity), F.lit(0))))
+
+
+# fixed values: advice by category, and prices of a thousand tokens
+FIXES = {
+    "secret_exposure": "Remove the secret from code. Use environment variables instead. Rotate this credential immediately.",
+    "private_key_exposed": "Remove private key from repository. Store in secure vault. Regenerate the key.",
+    "env_leaked": "Remove .env file from repository. Add .env to .gitignore. Rotate exposed credentials.",
+    "migration_destructive": "Review this destructive operation. Ensure backup strategy. Consider reversible migration.",
+    "auth_middleware_removed": "Verify this route should be public. The auth middleware was explicitly removed.",
+    "dependency_changed": "Review dependency changes for security implications. Run security audit.",
+}
+NO_FIX = "Review this finding and address if applicable."
+TOKEN_RATES = {"embedding": 0.00002, "input": 0.0025, "output": 0.01}
+
+
+def fix_of(category: Column) -> Column:
+    return F.coalesce(mapped(FIXES, category), F.lit(NO_FIX))
+
+
+def token_cost(embedding: Column, given: Column, produced: Column) -> Column:
+    """Cost in hundredths of a cent, cut to a whole number; null counts are none."""
+    n = {"embedding": embedding, "input": given, "output": produced}
+    total = F.lit(0.0)
+    for k, rate in TOKEN_RATES.items():
+        total = total + F.coalesce(n[k], F.lit(0)) / F.lit(1000) * F.lit(rate)
+    return (total * 10000).cast("long")
+
+
+def regulatory_tags(data_types: Column) -> Column:
+    """Laws that the kinds of data call up, by the exact names of the kinds."""
+    low = F.lower(F.array_join(data_types, ","))
+    named = lambda t: F.array_contains(data_types, t)
+    some = named("PII") | named("health_data") | named("student_data")
+    tags = F.array_compact(F.array(F.when(named("health") | low.contains("patient"), F.lit("HIPAA")), F.when(named("student") | low.contains("education"), F.lit("FERPA")), F.when(named("PII"), F.lit("GDPR")), F.when(named("PII"), F.lit("CCPA"))))
+    return F.when(some, tags).otherwise(F.array().cast("array<string>"))
+
+
+def explanation(data_types: Column, most: Column, flow: Column, tags: Column) -> Column:
+    """What stands behind an impact score, in words."""
+    level = F.when(most >= 85, "high").when(most >= 60, "medium").otherwise("low")
+    kinds = F.when(F.size(data_types) > 0, F.concat(F.lit("Data types: "), F.array_join(data_types, ", ")))
+    laws = F.when(F.size(tags) > 0, F.concat(F.lit("Regulatory: "), F.array_join(tags, ", ")))
+    return F.concat_ws("; ", F.concat(F.lit("Data sensitivity: "), level), kinds, F.concat(F.lit("Flow: "), flow), laws)
+
+
+def explained(findings: DataFrame) -> DataFrame:
+    """match_id with the explanation of its impact and the laws it touches."""
+    types = F.coalesce("tags", F.array().cast("array<string>"))
+    name, code = F.coalesce("evidence.rule_name", F.lit("")), F.coalesce("evidence.code_snippet", F.lit(""))
+    _, flow = impact(types, name, code)
+    most = F.coalesce(F.array_max(F.transform(types, lambda t: F.coalesce(mapped(SENSITIVITY, F.lower(t)), F.lit(50)))), F.lit(0))
+    laws = regulatory_tags(types)
+    return findings.select("match_id", F.array_join(laws, ",").alias("laws"), explanation(types, most, flow, laws).alias("explanation"))
+
+
+def rationale(confidence: Column, coverage_pct: Column) -> Column:
+    return F.struct(F.when(confidence.isin("high", "medium"), "direct").otherwise("heuristic").alias("evidence_strength"), F.lit("none").alias("trace_strength"), F.round(coverage_pct / 100, 2).alias("coverage_factor"), F.lit(0.0).alias("verification_factor"))
+
+
+def run_status(modes: Column, failed: Column) -> Column:
+    return F.when(failed, "failed").when(F.size(modes) > 0, "degraded").otherwise("completed")
+
+
+def filtered(findings: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows equal to every value that is given; None leaves a column free."""
+    for column, value in wanted.items():
+        if value is not None:
+            findings = findings.where(F.col(column) == value)
+    return findings

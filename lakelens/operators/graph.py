@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 # fixed values: words of names that look like entry points, and routes by their decorators
 ENTRY_WORDS = ["main", "__main__", "app", "server", "index", "handle", "handler", "route", "endpoint", "view", "cli", "command", "run", "start", "init"]
 ROUTE_MARKS = ["@app.", "@router.", "@route", "@get", "@post", "@put", "@delete"]
 CALL = r"\b([A-Za-z_]\w*)\s*\("
 
 
-def current(symbols: DataFrame) -> DataFrame:
-    """Re-indexed symbols count once: the newest row of a name in a file, ties by id."""
-    best = symbols.groupBy("snapshot_id", "qualified_name").agg(F.max_by(F.struct(*[c for c in symbols.columns if c not in ("snapshot_id", "qualified_name")]), F.struct("created_at", "symbol_id")).alias("x"))
-    return best.select("snapshot_id", "qualified_name", "x.*")
-
-
 def call_edges(symbols: DataFrame) -> DataFrame:
     """Calls inside the bodies of functions that name a function of the same repository.
 
@@ -68,14 +64,16 @@ def entry_points(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return j.where(F.col("marked") | F.col("named") & (F.col("called").isNull() | F.col("symbol_name").isin("main", "__main__", "app"))).select("repo_id", "qualified_name").distinct()
 
 
-def traces(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
+def traces(edges: DataFrame, starts: DataFrame, depth: int = 5, branches: int = 10) -> DataFrame:
     """Simple paths of at most `depth` edges from the starts to symbols that call nothing more.
 
-    Level by level: each level joins the open paths to the edges; a path ends where no edge leaves.
-    The number of levels is fixed, so the plan is, too.
+    A symbol is followed to the first `branches` of its callees in alphabetical order, so the open paths stay
+    bounded where a hub calls everything. The edges are written once for all levels; each level joins the open
+    paths to them, and a path ends where no edge leaves.
     """
-    e = edges.select("repo_id", F.col("caller").alias("at"), "callee")
-    leaves = edges.select("repo_id", F.col("callee").alias("at")).distinct().join(edges.select("repo_id", F.col("caller").alias("at")).distinct(), ["repo_id", "at"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("repo_id", "at").orderBy("callee"))
+    e = kept(edges.select("repo_id", F.col("caller").alias("at"), "callee").distinct().withColumn("place", place).where(F.col("place") <= branches).drop("place"))
+    leaves = kept(e.select("repo_id", F.col("callee").alias("at")).distinct().join(e.select("repo_id", "at").distinct(), ["repo_id", "at"], "left_anti"))
     paths, out = starts.select("repo_id", F.array("qualified_name").alias("path")), None
     for _ in range(depth):
         step = paths.withColumn("at", F.element_at("path", -1)).join(e, ["repo_id", "at"]).where(~F.array_contains("path", F.col("callee")))
@@ -85,6 +83,26 @@ def traces(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     return out
 
 
+def importers(resolved: DataFrame) -> DataFrame:
+    """Number of different files that import each known file."""
+    known = resolved.where("resolved IS NOT NULL").select("repo_id", F.col("resolved").alias("file_path"), F.col("file_path").alias("by")).distinct()
+    return known.groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("imported_by"))
+
+
+def with_context(symbols: DataFrame, edges: DataFrame, imported: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Each symbol with the numbers of its callers and callees, and of its file's symbols, imports and importers. Counts are aggregated before the joins."""
+    one = symbols.select("repo_id", "file_path", "qualified_name").distinct()
+    callers = edges.groupBy("repo_id", F.col("callee").alias("qualified_name")).agg(F.count(F.lit(1)).alias("callers"))
+    callees = edges.groupBy("repo_id", F.col("caller").alias("qualified_name")).agg(F.count(F.lit(1)).alias("callees"))
+    beside = one.groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("file_symbols"))
+    imports = imported.groupBy("repo_id", "file_path").agg(F.countDistinct("module").alias("imports"))
+    out = one.join(callers, ["repo_id", "qualified_name"], "left").join(callees, ["repo_id", "qualified_name"], "left")
+    for side in (beside, imports, importers(resolved)):
+        out = out.join(side, ["repo_id", "file_path"], "left")
+    counts = ("callers", "callees", "file_symbols", "imports", "imported_by")
+    return out.select("repo_id", "file_path", "qualified_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
 def top_symbols(symbols: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     """Per repository, half of the list classes by number of children, half functions by number of callers."""
     half = limit // 2

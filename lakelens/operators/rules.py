@@ -214,6 +214,11 @@ def is_route_file(path: Column) -> Column:
     return F.lower(path).contains("routes/") & path.endswith(".php")
 
 
+def enabled(rules: list[Rule], names: list[str] | None) -> list[Rule]:
+    """Rules of the categories that are switched on; none named means all. What is off never reaches the plan."""
+    return [r for r in rules if not names or r.category in names]
+
+
 def migration_findings(files: DataFrame) -> DataFrame:
     """Destructive changes, in migration files only, with the table or column they name."""
     return line_findings(files.where(is_migration(F.col("file_path"))), MIGRATION_RULES, group=1)

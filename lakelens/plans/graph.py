@@ -49,11 +49,12 @@ def entry_points(spark, d):
 
 @query("g7_traces", f"""
 WITH RECURSIVE {EDGES},
-r AS (SELECT e.repo_id, [e.caller, e.callee] AS path, 1 AS n FROM (SELECT DISTINCT repo_id, caller FROM edges) s JOIN edges e USING (repo_id, caller) WHERE e.caller NOT IN (SELECT callee FROM edges x WHERE x.repo_id = e.repo_id)
- UNION ALL SELECT r.repo_id, list_append(r.path, e.callee), r.n + 1 FROM r JOIN edges e ON e.repo_id = r.repo_id AND e.caller = r.path[-1] WHERE r.n < 4 AND NOT list_contains(r.path, e.callee))
-SELECT repo_id, array_to_string(path, ' -> ') AS chain FROM r WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = r.repo_id AND e.caller = r.path[-1])""")
+b AS (SELECT repo_id, caller, callee FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, caller ORDER BY callee) AS place FROM edges) WHERE place <= 10),
+r AS (SELECT e.repo_id, [e.caller, e.callee] AS path, 1 AS n FROM b e WHERE e.caller NOT IN (SELECT callee FROM edges x WHERE x.repo_id = e.repo_id)
+ UNION ALL SELECT r.repo_id, list_append(r.path, e.callee), r.n + 1 FROM r JOIN b e ON e.repo_id = r.repo_id AND e.caller = r.path[-1] WHERE r.n < 5 AND NOT list_contains(r.path, e.callee))
+SELECT repo_id, array_to_string(path, ' -> ') AS chain FROM r WHERE NOT EXISTS (SELECT 1 FROM b e WHERE e.repo_id = r.repo_id AND e.caller = r.path[-1])""")
 def traces(spark, d):
-    """Call chains from symbols that nobody calls to symbols that call nobody, up to four calls long."""
+    """Call chains from symbols that nobody calls to symbols that call nobody, up to five calls long, ten ways from each symbol."""
     e = edges(spark, d)
     starts = e.select("repo_id", F.col("caller").alias("qualified_name")).distinct().join(e.select("repo_id", F.col("callee").alias("qualified_name")).distinct(), ["repo_id", "qualified_name"], "left_anti")
     return graph.traces(e, starts).select("repo_id", F.array_join("path", " -> ").alias("chain"))
@@ -146,3 +147,22 @@ def resolved_calls(spark, d):
     n = own.select("repo_id", F.col("qualified_name").alias("caller"), "symbol_name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(graph.CALL), F.lit(1)))).alias("callee_name")).where("callee_name <> symbol_name").select("repo_id", "caller", "callee_name").distinct()
     return n.join(defined, ["repo_id", "callee_name"], "left").select("repo_id", "caller", "callee_name", F.coalesce("callee", "callee_name").alias("callee"), F.col("callee").isNotNull().alias("is_resolved"))
 
+
+
+RESOLVED = f"""{IMPORTS}, b AS (SELECT DISTINCT repo_id, module, replace(regexp_replace(module, '^(\\.\\./|\\./)+', ''), '.', '/') AS base FROM imp),
+c AS (SELECT repo_id, module, unnest([{CANDIDATES}]) AS candidate, generate_subscripts([{CANDIDATES}], 1) AS rank FROM b),
+k AS (SELECT c.repo_id, c.module, arg_min(c.candidate, c.rank) AS resolved FROM c JOIN (SELECT DISTINCT repo_id, file_path FROM source_files) f ON f.repo_id = c.repo_id AND f.file_path = c.candidate GROUP BY 1, 2)"""
+
+
+@query("j13_symbol_context", f"""
+WITH {EDGES}, {RESOLVED}, o AS (SELECT DISTINCT repo_id, file_path, qualified_name FROM symbols),
+cr AS (SELECT repo_id, callee AS qualified_name, count(*) AS callers FROM edges GROUP BY 1, 2), ce AS (SELECT repo_id, caller AS qualified_name, count(*) AS callees FROM edges GROUP BY 1, 2),
+fs AS (SELECT repo_id, file_path, count(*) AS file_symbols FROM o GROUP BY 1, 2), fi AS (SELECT repo_id, file_path, count(DISTINCT module) AS imports FROM imp GROUP BY 1, 2),
+fb AS (SELECT imp.repo_id, k.resolved AS file_path, count(DISTINCT imp.file_path) AS imported_by FROM imp JOIN k USING (repo_id, module) GROUP BY 1, 2)
+SELECT o.repo_id, o.file_path, o.qualified_name, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(file_symbols, 0) AS file_symbols, coalesce(imports, 0) AS imports, coalesce(imported_by, 0) AS imported_by
+FROM o LEFT JOIN cr USING (repo_id, qualified_name) LEFT JOIN ce USING (repo_id, qualified_name) LEFT JOIN fs USING (repo_id, file_path) LEFT JOIN fi USING (repo_id, file_path) LEFT JOIN fb USING (repo_id, file_path)""")
+def symbol_context(spark, d):
+    """Every symbol with its callers, callees and what stands around its file."""
+    f = table(spark, d, "source_files")
+    imported = graph.imports(f)
+    return graph.with_context(table(spark, d, "symbols"), edges(spark, d), imported, graph.resolve_imports(imported, f))

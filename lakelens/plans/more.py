@@ -7,15 +7,14 @@ from ..functions import text as X
 from ..operators import answers, rules
 from ..streaming import windows
 from .answers import CHECKED
+from .parsing import DECLARED, routes
 from .registry import query, table
 
 
-@query("ag18_routes_by_controller", """
-SELECT 'ItemController' AS controller, count(*) * 5 AS routes, count(*) AS files FROM source_files WHERE ends_with(file_path, '.php')""")
+@query("ag18_routes_by_controller", f"""
+SELECT controller, count(*) AS routes, count(DISTINCT snapshot_id) AS files, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM source_files JOIN (VALUES {DECLARED}) v(shape, method, uri, controller, action, middleware) ON snapshot_id % 3 = shape WHERE ends_with(file_path, '.php') GROUP BY 1""")
 def routes_by_controller(spark, d):
-    from .parsing import routes
-
-    return routes(spark, d).groupBy("controller").agg(F.count(F.lit(1)).alias("routes"), F.countDistinct("snapshot_id").alias("files"))
+    return routes(spark, d).groupBy("controller").agg(F.count(F.lit(1)).alias("routes"), F.countDistinct("snapshot_id").alias("files"), F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
 
 
 @query("ag28_citation_counts", """

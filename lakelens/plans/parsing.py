@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import parsing
-from .registry import query, table
+from .registry import query, quoted, table
 
 
 def lines(pattern: str) -> str:
@@ -87,15 +87,26 @@ def search_text(spark, d):
     return table(spark, d, "symbols").select("symbol_id", F.concat_ws(" ", "symbol_name", "signature", "docstring").alias("search_text"))
 
 
-@query("pl16_routes", """
-SELECT snapshot_id, method, '/api/v' || (snapshot_id % 3) || '/items' || tail AS uri, 'ItemController' AS controller, action, 'auth' AS middleware
-FROM source_files, (VALUES ('GET', '', 'index'), ('POST', '', 'store'), ('GET', '/{id}', 'show'), ('PUT', '/{id}', 'update'), ('DELETE', '/{id}', 'destroy')) v(method, tail, action) WHERE ends_with(file_path, '.php')""")
+#: Three ways to declare routes, by the remainder of a file's number; the tables hold no route files.
+SHAPES = [
+    ("Route::prefix('api')->middleware('auth')->group(function () { Route::group(['prefix' => 'v1'], function () { Route::apiResource('items', ItemController::class); }); });",
+     [("GET", "/api/v1/items", "ItemController", "index", "auth"), ("POST", "/api/v1/items", "ItemController", "store", "auth"), ("GET", "/api/v1/items/{id}", "ItemController", "show", "auth"), ("PUT", "/api/v1/items/{id}", "ItemController", "update", "auth"), ("DELETE", "/api/v1/items/{id}", "ItemController", "destroy", "auth")]),
+    ("Route::get('users/{id}', [UserController::class, 'show'])->middleware(['auth', 'verified']); Route::post('login', 'LoginController@store');",
+     [("GET", "/users/{id}", "UserController", "show", "auth,verified"), ("POST", "/login", "LoginController", "store", "")]),
+    ("Route::controller(OrderController::class)->prefix('shop')->group(function () { Route::match(['get', 'post'], 'orders', 'index'); Route::delete('orders/{id}', 'destroy'); });",
+     [("GET", "/shop/orders", "OrderController", "index", ""), ("POST", "/shop/orders", "OrderController", "index", ""), ("DELETE", "/shop/orders/{id}", "OrderController", "destroy", "")]),
+]
+DECLARED = ", ".join("(" + str(k) + ", " + quoted(row) + ")" for k, (_, found) in enumerate(SHAPES) for row in found)
+
+
+@query("pl16_routes", f"""
+SELECT snapshot_id, method, uri, controller, action, middleware FROM source_files JOIN (VALUES {DECLARED}) v(shape, method, uri, controller, action, middleware) ON snapshot_id % 3 = shape WHERE ends_with(file_path, '.php')""")
 def routes(spark, d):
-    """The tables hold no route files, so each PHP file declares a nested group with one resource behind its own text."""
+    """Each PHP file declares routes in one of three ways behind its own text."""
     from ..operators.routes import routes as found
 
-    tail = F.concat(F.lit("\nRoute::prefix('api')->middleware('auth')->group(function () { Route::group(['prefix' => 'v"), (F.col("snapshot_id") % 3).cast("string"), F.lit("'], function () { Route::apiResource('items', ItemController::class); }); });"))
-    f = table(spark, d, "source_files").where(F.col("file_path").endswith(".php")).withColumn("content", F.concat("content", tail))
+    tail = F.when(F.col("snapshot_id") % 3 == 0, SHAPES[0][0]).when(F.col("snapshot_id") % 3 == 1, SHAPES[1][0]).otherwise(SHAPES[2][0])
+    f = table(spark, d, "source_files").where(F.col("file_path").endswith(".php")).withColumn("content", F.concat("content", F.lit("\n"), tail))
     return found(f).select("snapshot_id", "method", "uri", "controller", "action", F.array_join("middleware", ",").alias("middleware"))
 
 
