@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import ast
+import re
+import warnings
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .. import grammar
 
 
 def numbered(files: DataFrame, pattern: str) -> DataFrame:
@@ -60,6 +68,28 @@ def added_lines(patches: DataFrame) -> DataFrame:
 
 
 PY_SYMBOLS = "snapshot_id long, file_path string, kind string, name string, qualified string, line_start int, line_end int, docstring string, error string"
+CALLS = "snapshot_id long, repo_id string, file_path string, line_no int, caller string, callee string"
+SYMBOLS = "snapshot_id long, repo_id string, file_path string, kind string, name string, qualified string, line_start int, line_end int, signature string, error string"
+SHORT = "snapshot_id long, file_path string, kind string, name string, line_start int, line_end int, signature string, docstring string, parent string, children array<string>, is_fallback boolean"
+BROKEN = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def each(files: DataFrame, one: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """one(*columns) -> rows for every row, in Arrow batches."""
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for cells in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in one(*cells)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+
+    return files.mapInArrow(run, schema)
+
+
+def tree(content: str | None) -> ast.Module:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return ast.parse((content or "").lstrip("\ufeff"))
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -75,19 +105,135 @@ def python_symbols(files: DataFrame) -> DataFrame:
             else:
                 yield from walk(c, path, owner, inside)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for sid, path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                try:
-                    rows += [(sid, path, *x, None) for x in walk(ast.parse((content or "").lstrip("﻿")), path, "", False)]
-                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    rows.append((sid, path, None, None, None, None, None, None, type(e).__name__))
-            names = [x.split()[0] for x in PY_SYMBOLS.split(", ")]
-            kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[x.split()[1]]) for k, x in enumerate(PY_SYMBOLS.split(", "))], names=names)
-
-    return files.where(F.col("file_path").endswith(".py")).select("snapshot_id", "file_path", "content").mapInArrow(run, PY_SYMBOLS)
+    def one(sid, path, content):
+        try:
+            return [(sid, path, *x, None) for x in walk(tree(content), path, "", False)]
+        except BROKEN as e:
+            return [(sid, path, None, None, None, None, None, None, type(e).__name__)]
+
+    return each(files.where(F.col("file_path").endswith(".py")).select("snapshot_id", "file_path", "content"), one, PY_SYMBOLS)
+
+
+def python_calls(files: DataFrame) -> DataFrame:
+    """Calls in Python files with the function they stand in.
+
+    The caller is `path:name` of the innermost function, `path:Class.name` of a method, `path:module` elsewhere;
+    the callee is the called expression as it is written. Of a class only methods without decorators count, of a
+    function only its body; decorators belong to what stands around. Files that do not parse give no rows.
+    """
+    function = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+    def walk(node, path, caller, text):
+        if isinstance(node, function):
+            for d in node.decorator_list:
+                yield from walk(d, path, caller, text)
+            for s in node.body:
+                yield from walk(s, path, f"{path}:{node.name}", text)
+        elif isinstance(node, ast.ClassDef):
+            for d in node.decorator_list:
+                yield from walk(d, path, caller, text)
+            for m in node.body:
+                if isinstance(m, function) and not m.decorator_list:
+                    for s in m.body:
+                        yield from walk(s, path, f"{path}:{node.name}.{m.name}", text)
+        else:
+            if isinstance(node, ast.Call):
+                yield node.lineno, caller, ast.get_source_segment(text, node.func)
+            for c in ast.iter_child_nodes(node):
+                yield from walk(c, path, caller, text)
+
+    def one(sid, repo, path, content):
+        text = (content or "").lstrip("\ufeff")
+        try:
+            return [(sid, repo, path, *x) for x in walk(tree(text), path, f"{path}:module", text)]
+        except BROKEN:
+            return []
+
+    return each(files.where(F.col("file_path").endswith(".py")).select("snapshot_id", "repo_id", "file_path", "content"), one, CALLS)
+
+
+def repository_symbols(files: DataFrame) -> DataFrame:
+    """Functions and methods of all files whose language has a grammar, from its syntax nodes; arrow functions bear the name they are assigned to.
+
+    A file that does not parse gives one row with the line and message of its first error, and never stops the
+    others; null and blank contents give no rows.
+    """
+
+    def one(sid, repo, path, content):
+        ext = grammar.extension(path)
+        if not content or grammar.blank(ext, content):
+            return []
+        p = grammar.parse(ext, content)
+        if p.errors:
+            at, what = p.errors[0]
+            return [(sid, repo, path, None, None, None, p.line(at), None, None, what)]
+        starts, ends = p.positions()
+        text, out = p.text, []
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        for f in sorted(p.funcs, key=lambda f: f.start):
+            name = text[starts[f.name] : ends[f.name]]
+            owner = text[starts[f.owner] : ends[f.owner]] if f.owner >= 0 else ""
+            first, last = bisect_left(breaks, starts[f.start]) + 1, bisect_left(breaks, ends[f.end - 1]) + 1
+            signature = re.sub(r"\s+", " ", text[starts[f.start] : ends[f.head - 1]]).strip()
+            out.append((sid, repo, path, "method" if owner else "function", name, f"{path}:{owner}.{name}" if owner else f"{path}:{name}", first, last, signature, None))
+        return out
+
+    known = F.lower(F.element_at(F.split("file_path", r"\."), -1)).isin(*[x for x in grammar.PARSERS if x != "json"])
+    return each(files.where(known).select("snapshot_id", "repo_id", "file_path", "content"), one, SYMBOLS)
+
+
+OUTLINE = re.compile(r"^(?P<indent>[ \t]*)(?:(?P<cls>class)\s+(?P<c>\w+)|(?:async\s+)?def\s+(?P<f>\w+))", re.M)
+
+
+def python_outline_short(files: DataFrame) -> DataFrame:
+    """Symbols of Python files under bare names: classes with their bases and children, `Class.method`, functions, and constants in capitals as variables.
+
+    A file that does not parse is outlined by its lines instead (`is_fallback`): there a definition that is
+    indented under a class is taken for one of its methods, and nothing else is known of it.
+    """
+
+    def signature(c) -> str:
+        if isinstance(c, ast.ClassDef):
+            bases = ", ".join(ast.unparse(b) for b in c.bases)
+            return f"class {c.name}({bases})" if bases else f"class {c.name}"
+        back = f" -> {ast.unparse(c.returns)}" if c.returns else ""
+        return f"{'async ' if isinstance(c, ast.AsyncFunctionDef) else ''}def {c.name}({ast.unparse(c.args)}){back}"
+
+    def nodes(body, parent):
+        for c in body:
+            if isinstance(c, ast.ClassDef):
+                inner = [m.name for m in c.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+                yield "class", c.name, c.lineno, c.end_lineno, signature(c), ast.get_docstring(c), parent, inner, False
+                yield from nodes(c.body, c.name)
+            elif isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                name = f"{parent}.{c.name}" if parent else c.name
+                yield "method" if parent else "function", name, c.lineno, c.end_lineno, signature(c), ast.get_docstring(c), parent, [], False
+            elif isinstance(c, ast.Assign) and not parent:
+                for t in c.targets:
+                    if isinstance(t, ast.Name) and t.id.isupper():
+                        yield "variable", t.id, c.lineno, c.end_lineno, None, None, None, [], False
+
+    def lines(text):
+        owner, depth = None, -1
+        for m in OUTLINE.finditer(text):
+            n, line = len(m["indent"].expandtabs()), text.count("\n", 0, m.start()) + 1
+            if n <= depth:
+                owner, depth = None, -1
+            if m["cls"]:
+                yield "class", m["c"], line, line, m.group().strip(), None, None, [], True
+                owner, depth = m["c"], n
+            elif owner:
+                yield "method", f"{owner}.{m['f']}", line, line, m.group().strip(), None, owner, [], True
+            else:
+                yield "function", m["f"], line, line, m.group().strip(), None, None, [], True
+
+    def one(sid, path, content):
+        try:
+            return [(sid, path, *x) for x in nodes(tree(content).body, None)]
+        except BROKEN:
+            return [(sid, path, *x) for x in lines(content or "")]
+
+    return each(files.where(F.col("file_path").endswith(".py")).select("snapshot_id", "file_path", "content"), one, SHORT)
 
 
 # fixed values: signs of frameworks in file paths, in the order in which they are tried

@@ -64,6 +64,24 @@ def python_symbols(spark, d):
     return parsing.python_symbols(table(spark, d, "source_files"))
 
 
+@query("pl4_calls")
+def calls(spark, d):
+    """Calls of Python files from their syntax trees; without SQL, which does not parse; tested on small files."""
+    return parsing.python_calls(table(spark, d, "source_files"))
+
+
+@query("pl10_repository_symbols")
+def repository_symbols(spark, d):
+    """Functions of all languages with a grammar, and the first error of each file that does not parse; without SQL, which does not parse."""
+    return parsing.repository_symbols(table(spark, d, "source_files"))
+
+
+@query("pl11_short_names")
+def short_names(spark, d):
+    """Python symbols under bare names; files that do not parse by their lines; without SQL, which does not parse."""
+    return parsing.python_outline_short(table(spark, d, "source_files"))
+
+
 CASES = " ".join(f"WHEN contains(lower(file_path), '{s}') THEN {k}" for k, (_, s) in enumerate(parsing.FRAMEWORKS))
 NAMES = "[" + ", ".join(f"'{n}'" for n, _ in parsing.FRAMEWORKS) + "]"
 
