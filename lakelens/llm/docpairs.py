@@ -20,7 +20,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grammar import PARSERS, blank, extension, parse
+from ..grammar import PARSERS, blank, extension, parse
 from .rows import map_rows
 from .syntax import known_extension
 

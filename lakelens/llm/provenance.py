@@ -36,7 +36,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grammar import extension
+from ..grammar import extension
 from .rows import kept, map_rows
 
 ALPHABET = 29

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..streaming.windows import shared_folder
+from ..session import kept
 
+__all__ = ["kept", "map_rows"]
 OUT_ROWS = 4096
 OUT_CHARS = 16_000_000
 
@@ -19,14 +20,6 @@ def _size(row: tuple) -> int:
     return sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share; nothing is left in memory."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType) -> DataFrame:
     """Run one(*columns) -> output tuples on every row of df.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import FORMATS, leaves
-from .grammar import extension
+from ..grammar import extension
 from .rows import map_rows
 
 FOUND = "origin string, record_id long, line_no long, kind string, key_path string, start_pos long, end_pos long, start_byte long, end_byte long"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grammar import PARSERS, blank, extension, parse
+from ..grammar import PARSERS, blank, extension, parse
 from .rows import map_rows
 
 ERRORS = "snapshot_id long, repo_id string, file_path string, file_language string, first_line long, first_error string, n_errors int, errors array<string>"

@@ -1,6 +1,6 @@
 import pytest
 
-from lakelens.llm import grammar as G
+from lakelens import grammar as G
 
 GOOD = {
     "py": ["", "x = 1\n", "﻿def f(a, /, *, b=1):\r\n    return a\r\n", "async def f():\n    async with a as b, c:\n        await d\n", "match x:\n    case [1, *r] if r:\n        pass\n    case _:\n        y = f'{a!r:>{w}}{{}}'\n", "class A(B, metaclass=C):\n    x: int = 1\n    def m(self): return self.x if self else lambda y: y\n", "try:\n    pass\nexcept* (A, B) as e:\n    raise X from e\nelse:\n    pass\nfinally:\n    del a[1:2, ::3]\n", "print(*a, **k)\nx = [i for i in y if i] + [*z]\n", "if (n := 3) > 2: pass\n", "a = b'x' b'y'\n", "@d(1)\nclass K: ...\n", "return 1\nbreak\n"],

@@ -224,7 +224,7 @@ def test_schemas_parse(spark):
 def test_similar_chunks(spark, data):
     from lakelens.plans import registry
 
-    rows = registry.queries()["v4_similar_chunks"](spark, data).collect()
+    rows = registry.queries()["v4_similar_vectors"](spark, data).collect()
     asked = {r.query_id for r in rows}
     assert asked and len(rows) == 5 * len(asked)
     assert all(any(r.query_id == r.item_id and r.score == 1 for r in rows if r.query_id == q) for q in asked)
