@@ -75,19 +75,13 @@ def squash(text) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def match_places(text, pattern: str) -> Column:
-    """array<struct<line, hit>> of all matches of a pattern in a text, without a UDF.
-
-    The text between matches comes from split, the matches from regexp_extract_all; one pass over
-    both sums up the line breaks before each match.
-    """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+def match_lines(hits, parts) -> Column:
+    """Lines of the matches of a pattern, given the matches and the parts of the text between them: one pass that sums up the line breaks before each match."""
+    before = F.slice(parts, 1, F.size(hits))
     steps = F.zip_with(before, hits, lambda s, h: F.struct(newlines(s).alias("s"), newlines(h).alias("h")))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
     walk = lambda a, x: F.struct((a["at"] + x["s"] + x["h"]).alias("at"), F.array_append(a["lines"], a["at"] + x["s"]).alias("lines"))
-    lines = F.aggregate(steps, start, walk, lambda a: a["lines"])
-    return F.zip_with(lines, hits, lambda n, h: F.struct(n.alias("line"), h.alias("hit")))
+    return F.aggregate(steps, start, walk, lambda a: a["lines"])
 
 
 def path_skip_reason(path, size) -> Column:

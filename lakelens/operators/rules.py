@@ -7,6 +7,7 @@ all rules of a file are collected in one array that is exploded once: no join wi
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,10 +53,10 @@ LOCKFILES = ["composer.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"
 SCAN_RULES = [
     Rule("SEC-001", r"\b(eval|exec)\s*\(", ("eval", "exec"), "high", "security", "Dynamic code execution detected", "medium"),
     Rule("SEC-002", r"\b(os\.system|subprocess\.Popen|subprocess\.run)\s*\(", ("os.system", "subprocess."), "medium", "security", "Shell execution detected", "medium"),
-    Rule("SEC-003", r"(?i)(api_key|secret|token|password)\s*=\s*[\"'][^\"']{8,}[\"']", ("=",), "high", "security", "Potential secret in source", "low"),
-    Rule("PRIV-001", r"(?i)\b(email|phone|address|dob|ssn|social_security|passport)\b", (), "medium", "privacy", "Personal data field detected", "low"),
-    Rule("PRIV-002", r"(?i)(logger|log)\.(info|debug|warn|error).*\b(email|phone|ssn|address)\b", (), "high", "privacy", "PII in logs", "medium"),
-    Rule("PERF-001", r"(?i)SELECT\s+\*", (), "low", "performance", "SELECT * usage detected", "medium"),
+    Rule("SEC-003", r"(?i)(api_key|secret|token|password)\s*=\s*[\"'][^\"']{8,}[\"']", ("api_key", "secret", "token", "password"), "high", "security", "Potential secret in source", "low"),
+    Rule("PRIV-001", r"(?i)\b(email|phone|address|dob|ssn|social_security|passport)\b", ("email", "phone", "address", "dob", "ssn", "social_security", "passport"), "medium", "privacy", "Personal data field detected", "low"),
+    Rule("PRIV-002", r"(?i)(logger|log)\.(info|debug|warn|error).*\b(email|phone|ssn|address)\b", ("email", "phone", "ssn", "address"), "high", "privacy", "PII in logs", "medium"),
+    Rule("PERF-001", r"(?i)SELECT\s+\*", ("select",), "low", "performance", "SELECT * usage detected", "medium"),
     Rule("PERF-002", r"\b(open|read|write)\(|\btime\.sleep\(", ("open(", "read(", "write(", "sleep("), "medium", "performance", "Potential blocking I/O in request path", "low"),
 ]
 # fixed values: destructive changes in migrations, and removed access checks in route files
@@ -69,8 +70,11 @@ MIGRATION_RULES = [
 AUTH_RULE = Rule("auth_middleware_removed", r"(?i)->withoutMiddleware\s*\(\s*['\"](auth|verified|can|admin)['\"]", (), "critical", "auth_middleware_removed", "Auth middleware removed")
 
 
-def hinted(text: Column, rule: Rule) -> Column:
+def hinted(text: Column, rule: Rule, low: Column | None = None) -> Column:
+    """Can the rule match at all? Hints of rules that ignore case are looked for in the text in lower case."""
     test = F.lit(True)
+    if rule.pattern.startswith("(?i)"):
+        text = F.lower(text) if low is None else low
     if rule.hints:
         test = F.lit(False)
         for h in rule.hints:
@@ -121,16 +125,19 @@ def file_findings(files: DataFrame) -> DataFrame:
 
 
 def scan_findings(files: DataFrame, rules: list[Rule] = SCAN_RULES) -> DataFrame:
-    """Every match of the scan rules in whole texts, with its line."""
+    """Every match of the scan rules in whole texts, with its line. Matches are looked for once a rule, and the text is cut at them only where there are any."""
     text = F.col("content")
+    keys = ("snapshot_id", "repo_id", "file_path")
+    low = files.where(F.length(text) > 0).select(*keys, "content", F.lower("content").alias("low"))
+    none = F.array().cast("array<string>")
+    hits = low.select(*keys, "content", *[F.when(hinted(text, r, F.col("low")), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"hits_{k}") for k, r in enumerate(rules)])
+    parts = hits.select(*keys, *[f"hits_{k}" for k in range(len(rules))], *[F.when(F.size(f"hits_{k}") > 0, F.split(text, r.pattern, -1)).otherwise(none).alias(f"parts_{k}") for k, r in enumerate(rules)])
 
-    def placed(r: Rule) -> Column:
-        places = F.when(hinted(text, r), X.match_places(text, r.pattern)).otherwise(F.array().cast("array<struct<line:int,hit:string>>"))
-        named = [F.lit(v).alias(k) for k, v in (("rule_id", r.rule_id), ("category", r.category), ("severity", r.severity), ("confidence", r.confidence))]
-        return F.transform(places, lambda m: F.struct(*named, m["line"].alias("start_line"), (m["line"] + X.newlines(m["hit"])).alias("end_line")))
+    def placed(k: int, r: Rule) -> Column:
+        named = [F.lit(v).alias(n) for n, v in (("rule_id", r.rule_id), ("category", r.category), ("severity", r.severity), ("confidence", r.confidence))]
+        return F.zip_with(X.match_lines(F.col(f"hits_{k}"), F.col(f"parts_{k}")), F.col(f"hits_{k}"), lambda n, h: F.struct(*named, n.alias("start_line"), (n + X.newlines(h)).alias("end_line")))
 
-    per_rule = [placed(r) for r in rules]
-    return files.where(F.length(text) > 0).select("snapshot_id", "repo_id", "file_path", F.explode(F.flatten(F.array(*per_rule))).alias("f")).select("snapshot_id", "repo_id", "file_path", "f.*")
+    return parts.select(*keys, F.explode(F.flatten(F.array(*[placed(k, r) for k, r in enumerate(rules)]))).alias("f")).select(*keys, "f.*")
 
 
 def untimed_requests(files: DataFrame) -> DataFrame:
@@ -190,19 +197,31 @@ def first_line(text: Column, pattern: str) -> Column:
     return X.newlines(F.split(text, pattern, 2)[0]) + 1
 
 
+def holds(text: Column, low: Column, pattern: str) -> Column:
+    """Does the text hold a pattern, case aside? Alternatives that are plain words, or words with anything between, are looked for as words in the text in lower case first."""
+    test = F.lit(False)
+    for part in [pattern] if "(" in pattern else pattern.split("|"):
+        words = re.split(r"\.\*|\\\.", part) if re.fullmatch(r"[a-z0-9_@]+(?:(?:\.\*|\\\.)[a-z0-9_@]+)*", part) else []
+        found = text.rlike("(?i)" + part) if len(words) != 1 else F.lit(True)
+        for w in reversed(words):
+            found = low.contains(w) & found
+        test = test | found
+    return test
+
+
 def missing_required(files: DataFrame, checks: list[Check] = CHECKS) -> DataFrame:
     """The first line of each pattern in files that have one and lack everything required with it. Each pattern is tried on the whole text, up to its first match."""
-    text = F.col("content")
+    text, low = F.col("content"), F.col("low")
     out = []
     for c in checks:
         if not (c.patterns and c.required):
             continue
         lacks = F.lit(True)
         for p in c.required:
-            lacks = lacks & ~text.rlike("(?i)" + p)
+            lacks = lacks & ~holds(text, low, p)
         for k, p in enumerate(c.patterns):
-            out.append(F.when(text.rlike("(?i)" + p) & lacks, F.struct(F.lit(c.check_id).alias("check_id"), F.lit(k).alias("pattern_no"), first_line(text, "(?i)" + p).alias("line_no"))))
-    got = files.where(X.is_code(F.col("file_path"))).select("snapshot_id", "file_path", F.explode(F.array_compact(F.array(*out))).alias("f"))
+            out.append(F.when(holds(text, low, p) & lacks, F.struct(F.lit(c.check_id).alias("check_id"), F.lit(k).alias("pattern_no"), first_line(text, "(?i)" + p).alias("line_no"))))
+    got = files.where(X.is_code(F.col("file_path"))).select("snapshot_id", "file_path", "content", F.lower("content").alias("low")).select("snapshot_id", "file_path", F.explode(F.array_compact(F.array(*out))).alias("f"))
     return got.select("snapshot_id", "file_path", "f.check_id", "f.pattern_no", "f.line_no")
 
 

@@ -34,10 +34,13 @@ def test_skip_reason(spark, path, size, want):
     assert one(spark, X.path_skip_reason(F.col("p"), F.col("n").cast("long")), p=path, n=str(size)) == want
 
 
-def test_match_places(spark):
-    got = one(spark, X.match_places(F.col("t"), r"e(val)\("), t="eval(\n\n x eval( eval(\nnone")
-    assert [(r.line, r.hit) for r in got] == [(1, "eval("), (3, "eval("), (3, "eval(")]
-    assert one(spark, X.match_places(F.col("t"), "zz"), t="") == []
+def test_match_lines(spark):
+    def places(p, t):
+        return one(spark, X.match_lines(F.regexp_extract_all(F.col("t"), F.lit(p), F.lit(0)), F.split("t", p, -1)), t=t)
+
+    assert places(r"e(val)\(", "eval(\n\n x eval( eval(\nnone") == [1, 3, 3]
+    assert places("(?s)a.b", "a\nb\na\nb") == [1, 3]
+    assert places("zz", "") == []
 
 
 def test_trigrams(spark):
