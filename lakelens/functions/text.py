@@ -34,6 +34,31 @@ def dirname(path) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def normpath(path) -> Column:
+    """Without empty parts and `.`, and with `..` taking away the part before it; an empty path is `.`."""
+    rooted = path.startswith("/")
+    up = lambda a: (a == "") | a.endswith("/..") | (a == "..")
+    step = lambda a, x: F.when(x.isin("", "."), a).when((x == "..") & ~up(a), F.regexp_replace(a, r"(?:^|/)[^/]+$", "")).when((x == "..") & rooted & (a == ""), a).when(a == "", x).otherwise(F.concat(a, F.lit("/"), x))
+    flat = F.aggregate(F.split(path, "/"), F.lit(""), step)
+    return F.when(rooted, F.concat(F.lit("/"), flat)).when(flat == "", ".").otherwise(flat)
+
+
+def join_path(first, second) -> Column:
+    """The second path below the first one; alone if it starts at the root."""
+    return F.when(second.startswith("/"), second).when((first == "") | first.endswith("/"), F.concat(first, second)).otherwise(F.concat(first, F.lit("/"), second))
+
+
+def is_upper(text) -> Column:
+    return text.rlike("[A-Z]") & (text == F.upper(text))
+
+
+def owner_and_name(url) -> Column:
+    """Owner and name in the address of a repository, in its https or its ssh form; null in any other."""
+    web, ssh = r"[\w.-]+\.[a-z]+/([^/]+)/([^/]+?)(?:\.git)?(?:/.*)?$", r"[\w.-]+\.[a-z]+:([^/]+)/([^/]+?)(?:\.git)?$"
+    pick = lambda k: F.when(url.rlike(web), F.regexp_extract(url, web, k)).when(url.rlike(ssh), F.regexp_extract(url, ssh, k))
+    return F.struct(pick(1).alias("owner"), pick(2).alias("name"))
+
+
 def suffix(path) -> Column:
     """Lower-case extension with its dot; a leading dot alone is none."""
     return F.lower(F.regexp_extract(basename(path), r"^.+(\.[^.]*)$", 1))
@@ -105,6 +130,8 @@ def language_of(path) -> Column:
 # fixed values: file kinds by extension and folder
 PARSEABLE = {".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".php": "php", ".rb": "ruby", ".go": "go", ".java": "java", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".cs": "csharp"}
 CONFIG = [".json", ".yaml", ".yml", ".toml", ".ini", ".env", ".txt", ".md"]
+LISTED = [".py", ".js", ".ts", ".tsx", ".jsx", ".php", ".rb", ".java", ".go", ".env", ".yaml", ".yml", ".json", ".sql", ".sh", ".rs", ".c", ".cpp", ".pem", ".key"]
+ALWAYS = [".env", "Gemfile.lock", "package-lock.json", "composer.lock", "yarn.lock"]
 SKIP_DIRS = [".git", "__pycache__", ".venv", "venv", "node_modules", "vendor", "dist", "build", ".next", ".nuxt", "coverage", ".pytest_cache", ".mypy_cache", "eggs", ".eggs"]
 BUNDLES = [".min.js", ".bundle.js", ".map"]
 BINARY = [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".exe", ".dll", ".so", ".dylib", ".bin", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".db", ".sqlite", ".sqlite3"]

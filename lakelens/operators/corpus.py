@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Window, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -49,3 +49,20 @@ def line_range(files: DataFrame, ranges: DataFrame) -> DataFrame:
     got = ranges.join(files.select("snapshot_id", X.lines_nl(F.col("content")).alias("lines")), "snapshot_id")
     n = F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)
     return got.withColumn("cut", F.array_join(F.slice("lines", F.greatest(F.col("start_line"), F.lit(1)), n), "\n")).drop("lines")
+
+
+def coverage_reports(files: DataFrame, parsed: DataFrame, errors: int = 20) -> DataFrame:
+    """Coverage of each repository as a report: counts, skipped files by reason, languages, a message below 80 %, and the first parse errors in order of paths."""
+    counts = coverage(files, parsed)
+    kinds = classify(files)
+
+    def listed(column: str) -> DataFrame:
+        one = kinds.where(F.col(column).isNotNull()).groupBy("repo_id", column).agg(F.count(F.lit(1)).alias("n"))
+        return one.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", column, F.col("n").cast("string")))), ",").alias(column))
+
+    failed = parsed.where(F.size("errors") > 0).select("repo_id", "file_path", "snapshot_id", F.col("errors")[0].alias("error")).distinct()
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path", "snapshot_id", "error"))
+    first = failed.withColumn("place", place).where(F.col("place") <= errors).groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(": ", "file_path", "error").alias("said")))), lambda x: x["said"]), "\n").alias("parse_errors"))
+    out = counts.join(listed("skip_reason"), "repo_id", "left").join(listed("language"), "repo_id", "left").join(first, "repo_id", "left")
+    message = F.when(F.col("is_incomplete"), F.concat(F.lit("Only "), F.round("coverage_pct", 1).cast("string"), F.lit("% of codebase scanned (minimum 80% recommended)")))
+    return out.select("repo_id", "discovered", "parsed", "failed", message.alias("message"), F.coalesce("skip_reason", F.lit("")).alias("skipped"), F.coalesce("language", F.lit("")).alias("languages"), F.coalesce("parse_errors", F.lit("")).alias("parse_errors"))

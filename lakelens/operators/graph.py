@@ -31,7 +31,8 @@ def imports(files: DataFrame) -> DataFrame:
     py = F.regexp_extract("line", r"^(?:from\s+(\S+)\s+import|import\s+(\S+))", 1)
     py2 = F.regexp_extract("line", r"^import\s+([\w.]+)", 1)
     js = F.regexp_extract("line", r"import\s+.*\s+from\s+['\"]([^'\"]+)['\"]", 1)
-    module = F.when(F.col("file_path").endswith(".py"), F.when(py != "", py).otherwise(py2)).otherwise(js)
+    bare = F.regexp_extract("line", r"^\s*import\s+['\"]([^'\"]+)['\"]", 1)  # for its effects only
+    module = F.when(F.col("file_path").endswith(".py"), F.when(py != "", py).otherwise(py2)).when(js != "", js).otherwise(bare)
     return f.select("snapshot_id", "repo_id", "file_path", (F.col("pos") + 1).alias("line_no"), module.alias("module")).where("module <> ''")
 
 

@@ -69,14 +69,14 @@ def line_ranges(spark, d):
 
 
 @query("sc5_tree_listing", f"""
-WITH c AS (SELECT DISTINCT repo_id, file_path FROM source_files WHERE {EXT} IN ({quoted(X.PARSEABLE)})),
+WITH c AS (SELECT DISTINCT repo_id, file_path FROM source_files WHERE {EXT} IN ({quoted(X.LISTED)}) OR regexp_extract(file_path, '[^/]*$') IN ({quoted(X.ALWAYS)})),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_path) AS place FROM c)
 SELECT repo_id, file_path, place::INTEGER AS place FROM r WHERE place <= 100""")
 def tree_listing(spark, d):
-    """The first hundred code files of each repository in path order: the cap is the feature."""
+    """The first hundred files of each repository that are worth a look, by extension or name, in path order: the cap is the feature."""
     from pyspark.sql import Window
 
-    c = table(spark, d, "source_files").where(X.suffix(F.col("file_path")).isin(*X.PARSEABLE)).select("repo_id", "file_path").distinct()
+    c = table(spark, d, "source_files").where(X.suffix(F.col("file_path")).isin(*X.LISTED) | X.basename(F.col("file_path")).isin(*X.ALWAYS)).select("repo_id", "file_path").distinct()
     return c.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path"))).where("place <= 100")
 
 

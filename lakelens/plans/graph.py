@@ -72,7 +72,7 @@ def top_symbols(spark, d):
 
 IMPORTS = r"""l AS (SELECT snapshot_id, repo_id, file_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_no FROM source_files WHERE regexp_matches(file_path, '\.(py|js|ts)$')),
 i AS (SELECT snapshot_id, repo_id, file_path, line_no, CASE WHEN ends_with(file_path, '.py') THEN CASE WHEN regexp_extract(line, '^(?:from\s+(\S+)\s+import|import\s+(\S+))', 1) <> '' THEN regexp_extract(line, '^(?:from\s+(\S+)\s+import|import\s+(\S+))', 1) ELSE regexp_extract(line, '^import\s+([\w.]+)', 1) END
- ELSE regexp_extract(line, 'import\s+.*\s+from\s+[''"]([^''"]+)[''"]', 1) END AS module FROM l),
+ WHEN regexp_extract(line, 'import\s+.*\s+from\s+[''"]([^''"]+)[''"]', 1) <> '' THEN regexp_extract(line, 'import\s+.*\s+from\s+[''"]([^''"]+)[''"]', 1) ELSE regexp_extract(line, '^\s*import\s+[''"]([^''"]+)[''"]', 1) END AS module FROM l),
 imp AS (SELECT * FROM i WHERE module <> '')"""
 
 

@@ -29,7 +29,7 @@ def quoted(values) -> str:
 
 
 def _load() -> None:
-    from . import answers, corpus, docs, events, findings, graph, listings, more, parsing, records, relational, rules, search  # noqa: F401
+    from . import answers, corpus, details, docs, events, findings, graph, listings, more, parsing, records, relational, rules, search  # noqa: F401
 
 
 def queries():

@@ -59,3 +59,18 @@ def test_split_valid(spark):
     good, bad = schemas.split_valid(df)
     assert sorted(r.id for r in good.collect()) == [1, 3]
     assert [(r.id, r.failed) for r in bad.collect()] == [(2, ["severity"])]
+
+
+def test_paths_like_posix(spark):
+    import posixpath
+
+    paths = ["", ".", "a", "a/b/../c", "../a", "../../a/..", "/..", "/../a", "/a/./b//c/", "a/..", "a/../..", "./x", "//a"]
+    got = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k int, p string").select("k", X.normpath(F.col("p")).alias("n"), X.join_path(F.lit("r"), F.col("p")).alias("j")).orderBy("k").collect()
+    assert [r.n for r in got] == [posixpath.normpath(p).replace("//a", "/a") for p in paths]
+    assert [r.j for r in got] == [posixpath.join("r", p) for p in paths]
+
+
+def test_addresses_and_case(spark):
+    urls = ["https://example.com/a/b.git", "git@example.com:a/b", "https://example.com/a/b/tree/main", "nothing"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(X.owner_and_name(F.col("u")).alias("x"), X.is_upper(F.col("u")).alias("up")).collect()
+    assert [(r.x.owner, r.x.name) for r in got] == [("a", "b"), ("a", "b"), ("a", "b"), (None, None)] and not any(r.up for r in got)
