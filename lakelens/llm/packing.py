@@ -217,3 +217,13 @@ def containers(documents: DataFrame, capacity: int, folder: str = TOKENIZERS, na
     sized = token_sizes(documents, folder, name).where("n_tokens > 0")
     dealt = sized.withColumn("row", F.monotonically_increasing_id()).withColumn("block", block_of(blocks))
     return dealt.repartitionById(blocks, "block").groupBy("block").applyInArrow(_place(capacity), PLACED)
+
+
+def placed(documents: DataFrame, capacity: int, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """One row per document: whether its pieces follow each other from its first token on, none cut below the capacity, in containers that hold no more than that."""
+    p = containers(documents, capacity, folder, name)
+    full = p.groupBy("container_id").agg(F.sum("n_tokens").alias("total"))
+    j = p.join(full, "container_id")
+    last = F.max("piece_no")
+    good = (F.max("total") <= capacity) & (F.count(F.lit(1)) == last + 1) & (F.sum("n_tokens") - F.max_by("n_tokens", "piece_no") == last * capacity) & (F.min("n_tokens") > 0)
+    return j.groupBy("doc_id").agg(good.alias("is_within"))

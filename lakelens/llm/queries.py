@@ -23,6 +23,10 @@ def p1_pieces(spark, d):
     return splitting.pieces(*_split(spark, d))
 
 
+def p1_whole(spark, d):
+    return splitting.whole_items(*_split(spark, d))
+
+
 def p2_found(spark, d):
     return syntax.broken_files(table(spark, d, "source_files"))
 
@@ -75,6 +79,10 @@ def p7_ids(spark, d):
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p7_round_trip(spark, d):
+    return tokens.round_trip(table(spark, d, "documents"))
+
+
 def container_capacity(spark, d) -> int:
     """The capacity stands in a table of fixed size."""
     got = table(spark, d, "size_limits").where("item_kind = 'container'").agg(F.min("max_size")).first()[0]
@@ -85,6 +93,10 @@ def p8_containers(spark, d):
     return packing.containers(table(spark, d, "documents"), container_capacity(spark, d))
 
 
+def p8_placed(spark, d):
+    return packing.placed(table(spark, d, "documents"), container_capacity(spark, d))
+
+
 def p9_found(spark, d):
     return sentences.sentence_places(table(spark, d, "documents"))
 
@@ -93,12 +105,25 @@ def p9_sentences(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
+def p9_covered(spark, d):
+    return sentences.covered(table(spark, d, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql():
     return {
+        "p1_whole": """
+            SELECT 'symbol' AS item_kind, symbol_id AS item_id, 0 AS first_pos, length(body) AS last_pos, true AS is_whole FROM symbols
+            WHERE length(body) > (SELECT max_size FROM size_limits WHERE item_kind = 'symbol_body')
+            UNION ALL
+            SELECT 'source', source_row_id, 0, length(content), true FROM retrieved_sources
+            WHERE length(content) > (SELECT max_size FROM size_limits WHERE item_kind = 'retrieved_source')""",
+        "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+        "p8_placed": "SELECT doc_id, true AS is_within FROM documents WHERE coalesce(text, '') <> ''",
+        "p9_covered": f"SELECT * FROM (SELECT doc_id, length(regexp_replace(text, '{sentences.BLANKS}', '', 'g')) AS visible, true AS is_apart FROM documents) WHERE visible > 0",
         "p1_found": """
             SELECT 'symbol' AS item_kind, symbol_id AS item_id FROM symbols
             WHERE length(body) > (SELECT max_size FROM size_limits WHERE item_kind = 'symbol_body')

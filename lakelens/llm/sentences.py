@@ -18,7 +18,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .rows import map_rows
 
@@ -405,3 +406,15 @@ def sentences(documents: DataFrame) -> DataFrame:
 
 def sentence_places(documents: DataFrame) -> DataFrame:
     return map_rows(documents.select("doc_id", "text"), _splitter(False), "doc_id long, start_pos long, end_pos long").distinct()
+
+
+#: What counts as white space, as a class that regular expressions of all engines know.
+BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def covered(documents: DataFrame) -> DataFrame:
+    """doc_id, number of visible characters in its sentences, and whether these are in order, apart and without white space around them."""
+    w = Window.partitionBy("doc_id").orderBy("sentence_no")
+    s = sentences(documents).withColumn("before", F.lag("end_pos").over(w))
+    good = (F.col("before").isNull() | (F.col("before") <= F.col("start_pos"))) & (F.char_length("text") == F.col("end_pos") - F.col("start_pos")) & ~F.col("text").rlike(f"^{BLANKS}|{BLANKS}$")
+    return s.groupBy("doc_id").agg(F.sum(F.char_length(F.regexp_replace("text", BLANKS, ""))).alias("visible"), F.bool_and(good).alias("is_apart"))

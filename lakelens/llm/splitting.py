@@ -22,7 +22,7 @@ import re
 import unicodedata
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rows import map_rows
@@ -127,3 +127,13 @@ def pieces(symbols: DataFrame, sources: DataFrame, limits: DataFrame, with_text:
 def split_items(symbols: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFrame:
     """Keys of the items that the splitter cut, each once."""
     return pieces(symbols, sources, limits, with_text=False).where("piece_no = 1").select("item_kind", "item_id").distinct()
+
+
+def whole_items(symbols: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row per oversized item: where its pieces begin and end, and whether they are in order, within the limit, joined with an overlap no larger than asked for, and hold the text they stand for."""
+    lim = limits.where("unit = 'characters'").groupBy(F.when(F.col("item_kind") == "symbol_body", "symbol").otherwise("source").alias("item_kind")).agg(F.min("max_size").alias("max_size"), F.min("overlap_size").alias("overlap_size"))
+    w = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    p = pieces(symbols, sources, limits).withColumn("before", F.lag("end_pos").over(w)).join(F.broadcast(lim), "item_kind")
+    shared = F.col("before") - F.col("start_pos")
+    good = (F.col("end_pos") - F.col("start_pos") <= F.col("max_size")) & (F.char_length("text") == F.col("end_pos") - F.col("start_pos")) & (F.col("before").isNull() | shared.between(0, F.col("overlap_size")) & (F.col("end_pos") > F.col("before")))
+    return p.groupBy("item_kind", "item_id").agg(F.min("start_pos").alias("first_pos"), F.max("end_pos").alias("last_pos"), F.bool_and(good).alias("is_whole"))

@@ -17,6 +17,7 @@ are plain text; repeated rows give repeated rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib.util
 from bisect import bisect_left, bisect_right
 from itertools import accumulate, chain
@@ -194,3 +195,21 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_
 def token_sizes(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """doc_id and number of tokens of every row."""
     return map_rows(documents.select("doc_id", F.col("text")), _sizes(folder, name), "doc_id long, n_tokens long")
+
+
+def _decoder(folder: str, name: str):
+    def make():
+        with open(Path(folder, f"{name}.tiktoken"), "rb") as lines:
+            pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+
+        def one(doc_id, ids):
+            yield doc_id, hashlib.md5(b"".join(map(pieces.__getitem__, ids))).hexdigest()
+
+        return one
+
+    return make
+
+
+def round_trip(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id and digest of the bytes that the ids of every row stand for."""
+    return map_rows(token_ids(documents, folder, name), _decoder(folder, name), "doc_id long, digest string")
