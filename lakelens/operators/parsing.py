@@ -240,10 +240,20 @@ def python_outline_short(files: DataFrame) -> DataFrame:
 FRAMEWORKS = [("laravel", "artisan"), ("laravel", "app/http/controllers"), ("laravel", "routes/web.php"), ("django", "manage.py"), ("django", "wsgi.py"), ("django", "settings.py"), ("fastapi", "main.py"), ("fastapi", "uvicorn"), ("flask", "app.py"), ("flask", "flask"), ("express", "package.json"), ("express", "express"), ("nextjs", "next.config"), ("nextjs", "_app.tsx"), ("nextjs", "_app.js"), ("react", "react-dom"), ("vue", "vue.config.js"), ("vue", "nuxt.config"), ("rails", "gemfile"), ("rails", "config/routes.rb"), ("spring", "pom.xml"), ("spring", "build.gradle")]
 
 
-def frameworks(files: DataFrame) -> DataFrame:
-    """The first framework whose sign stands in a path of the repository; unknown if none does."""
+# fixed values: frameworks by the name of an imported module, in the order in which they are tried
+IMPORTED = [("fastapi", "fastapi"), ("flask", "flask"), ("django", "django"), ("express", "express"), ("nextjs", "next"), ("react", "react")]
+
+
+def frameworks(files: DataFrame, imported: DataFrame | None = None) -> DataFrame:
+    """The first framework whose sign stands in a path of the repository, else the first whose name an imported module holds; unknown if none does. imported(repo_id, module)."""
     low = F.lower("file_path")
     found = F.array_compact(F.array(*[F.when(low.contains(s), F.lit(k)) for k, (_, s) in enumerate(FRAMEWORKS)]))
     best = files.groupBy("repo_id").agg(F.min(F.array_min(found)).alias("k"))
     names = F.array(*[F.lit(n) for n, _ in FRAMEWORKS])
-    return best.select("repo_id", F.coalesce(F.get(names, F.col("k")), F.lit("unknown")).alias("framework"))
+    if imported is None:
+        return best.select("repo_id", F.coalesce(F.get(names, F.col("k")), F.lit("unknown")).alias("framework"))
+    module = F.lower("module")
+    named = F.array_compact(F.array(*[F.when(module.contains(s), F.lit(k)) for k, (_, s) in enumerate(IMPORTED)]))
+    second = imported.groupBy("repo_id").agg(F.min(F.array_min(named)).alias("i"))
+    others = F.array(*[F.lit(n) for n, _ in IMPORTED])
+    return best.join(second, "repo_id", "left").select("repo_id", F.coalesce(F.get(names, F.col("k")), F.get(others, F.col("i")), F.lit("unknown")).alias("framework"))

@@ -80,7 +80,7 @@ def folders(spark, d):
 @query("d1_overview", """
 SELECT r.full_name, count(DISTINCT s.file_path) AS files, count(*) FILTER (symbol_type = 'class') AS classes, count(*) FILTER (symbol_type <> 'class') AS functions, round(avg(length(body)), 4) AS mean_body FROM symbols s JOIN repositories r USING (repo_id) GROUP BY 1""")
 def overview(spark, d):
-    s = table(spark, d, "symbols").join(F.broadcast(table(spark, d, "repositories").select("repo_id", "full_name")), "repo_id")
+    s = table(spark, d, "symbols").join(table(spark, d, "repositories").select("repo_id", "full_name"), "repo_id")
     return s.groupBy("full_name").agg(F.countDistinct("file_path").alias("files"), F.count_if(F.col("symbol_type") == "class").alias("classes"), F.count_if(F.col("symbol_type") != "class").alias("functions"), F.round(F.avg(F.length("body")), 4).alias("mean_body"))
 
 
@@ -89,3 +89,19 @@ SELECT snapshot_id, qualified_name, place::INTEGER AS place FROM (SELECT *, row_
 def first_symbols(spark, d):
     s = table(spark, d, "symbols").where("line_start IS NOT NULL")
     return s.withColumn("place", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("line_start", "symbol_id"))).where("place <= 10").select("snapshot_id", "qualified_name", "place")
+
+
+@query("d1_overview_text", """
+WITH c AS (SELECT repo_id, count(DISTINCT file_path) AS files, count(*) FILTER (symbol_type = 'class') AS classes, count(*) FILTER (symbol_type IN ('function', 'method')) AS functions FROM symbols GROUP BY 1),
+t AS (SELECT repo_id, file_path, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, file_path) AS place FROM symbols WHERE file_path IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT repo_id, string_agg('- `' || file_path || '`', chr(10) ORDER BY place) AS listed FROM t WHERE place <= 5 GROUP BY 1)
+SELECT r.repo_id, '# ' || full_name || chr(10) || chr(10) || 'Files: ' || coalesce(files, 0) || ', classes: ' || coalesce(classes, 0) || ', functions: ' || coalesce(functions, 0) || chr(10) || chr(10) || '## Key files' || chr(10) || coalesce(listed, 'none') AS body FROM repositories r LEFT JOIN c USING (repo_id) LEFT JOIN l USING (repo_id)""")
+def overview_text(spark, d):
+    """The overview of each repository as a document: its counts and the five files with the most symbols."""
+    s = table(spark, d, "symbols")
+    c = s.groupBy("repo_id").agg(F.countDistinct("file_path").alias("files"), F.count_if(F.col("symbol_type") == "class").alias("classes"), F.count_if(F.col("symbol_type").isin("function", "method")).alias("functions"))
+    t = s.where("file_path IS NOT NULL").groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n"), "file_path"))).where("place <= 5")
+    listed = t.groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "file_path"))), lambda x: F.concat(F.lit("- `"), x["file_path"], F.lit("`"))), "\n").alias("listed"))
+    n = lambda k: F.coalesce(k, F.lit(0)).cast("string")
+    body = F.concat(F.lit("# "), "full_name", F.lit("\n\nFiles: "), n("files"), F.lit(", classes: "), n("classes"), F.lit(", functions: "), n("functions"), F.lit("\n\n## Key files\n"), F.coalesce("listed", F.lit("none")))
+    return table(spark, d, "repositories").select("repo_id", "full_name").join(c, "repo_id", "left").join(listed, "repo_id", "left").select("repo_id", body.alias("body"))

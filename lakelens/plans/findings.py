@@ -147,9 +147,16 @@ def overlapping(spark, d):
 
 
 @query("ag27_prompt_inputs", f"""
-SELECT repo_id, rule_id, string_agg(DISTINCT file_path, ', ' ORDER BY file_path) AS files, count(*) AS findings FROM {M} WHERE file_path IS NOT NULL GROUP BY 1, 2""")
+WITH f AS (SELECT repo_id, rule_id, file_path, count(*) AS n FROM {M} WHERE file_path IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT repo_id, rule_id, count(*) AS files, sum(n)::BIGINT AS findings FROM f GROUP BY 1, 2),
+s AS (SELECT repo_id, count(*) AS repo_findings, count(*) FILTER (severity = 'critical') AS critical FROM {M} GROUP BY 1)
+SELECT f.repo_id, f.rule_id, f.file_path, f.n, t.files, t.findings, s.repo_findings, s.critical FROM f JOIN t USING (repo_id, rule_id) JOIN s USING (repo_id)""")
 def prompt_inputs(spark, d):
-    return unique(spark, d).where("file_path IS NOT NULL").groupBy("repo_id", "rule_id").agg(F.array_join(F.array_sort(F.collect_set("file_path")), ", ").alias("files"), F.count(F.lit(1)).alias("findings"))
+    """Files of each rule, one row each, with the totals of the rule and the summary of the repository."""
+    m = unique(spark, d)
+    f = m.where("file_path IS NOT NULL").groupBy("repo_id", "rule_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    t = f.groupBy("repo_id", "rule_id").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("findings"))
+    s = m.groupBy("repo_id").agg(F.count(F.lit(1)).alias("repo_findings"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    return f.join(t, ["repo_id", "rule_id"]).join(s, "repo_id").select("repo_id", "rule_id", "file_path", "n", "files", "findings", "repo_findings", "critical")
 
 
 @query("d9_review_body", f"""
@@ -161,3 +168,13 @@ def review_body(spark, d):
     b = g.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"), F.max((F.col("severity") == "critical").cast("int")).alias("c"))
     return b.select("repo_id", "body", F.when(F.col("c") == 1, "REQUEST_CHANGES").otherwise("COMMENT").alias("event"))
 
+
+@query("d9_inline_comments", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_path, start_line, match_id) AS place FROM {M} WHERE severity = 'critical' AND file_path IS NOT NULL AND start_line IS NOT NULL)
+SELECT repo_id, match_id, file_path AS path, start_line AS line, '**' || coalesce(title, rule_id) || '** (`' || rule_id || '`)' AS body, place::INTEGER AS place FROM t WHERE place <= 10""")
+def inline_comments(spark, d):
+    """The first ten critical findings of each repository as comments on their lines: the cap is the feature."""
+    m = unique(spark, d).where("severity = 'critical' AND file_path IS NOT NULL AND start_line IS NOT NULL")
+    body = F.concat(F.lit("**"), F.coalesce("title", "rule_id"), F.lit("** (`"), "rule_id", F.lit("`)"))
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path", "start_line", "match_id"))
+    return m.withColumn("place", place).where("place <= 10").select("repo_id", "match_id", F.col("file_path").alias("path"), F.col("start_line").alias("line"), body.alias("body"), "place")

@@ -21,9 +21,12 @@ def call_edges(spark, d):
     return edges(spark, d)
 
 
-@query("g4_callers", f"WITH {EDGES} SELECT repo_id, callee AS qualified_name, count(DISTINCT caller) AS callers, string_agg(DISTINCT caller, ', ' ORDER BY caller) AS caller_names FROM edges GROUP BY 1, 2")
+@query("g4_callers", f"WITH {EDGES}, n AS (SELECT repo_id, callee, count(*) AS callers FROM edges GROUP BY 1, 2) SELECT e.repo_id, e.callee AS qualified_name, n.callers, e.caller FROM edges e JOIN n USING (repo_id, callee)")
 def callers(spark, d):
-    return edges(spark, d).groupBy("repo_id", F.col("callee").alias("qualified_name")).agg(F.countDistinct("caller").alias("callers"), F.array_join(F.array_sort(F.collect_set("caller")), ", ").alias("caller_names"))
+    """Callers of each symbol, one row each beside their number, so no hub gathers all of its callers in one row."""
+    e = edges(spark, d)
+    n = e.groupBy("repo_id", "callee").agg(F.count(F.lit(1)).alias("callers"))
+    return e.join(n, ["repo_id", "callee"]).select("repo_id", F.col("callee").alias("qualified_name"), "callers", "caller")
 
 
 @query("g5_callees", f"WITH {EDGES} SELECT repo_id, caller AS qualified_name, count(DISTINCT callee) AS callees FROM edges GROUP BY 1, 2")

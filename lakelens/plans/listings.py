@@ -30,7 +30,7 @@ def shallow(spark, d):
 @query("f18_permalinks", """
 SELECT DISTINCT m.match_id, r.full_name || '/blob/' || r.default_branch || '/' || m.file_path || '#L' || m.start_line || '-L' || greatest(m.start_line, m.end_line) AS link, regexp_extract(r.full_name, '^([^/]+)/', 1) AS owner FROM finding_matches m JOIN repositories r USING (repo_id) WHERE m.start_line IS NOT NULL AND m.end_line IS NOT NULL""")
 def permalinks(spark, d):
-    r = F.broadcast(table(spark, d, "repositories").select("repo_id", "full_name", "default_branch"))
+    r = table(spark, d, "repositories").select("repo_id", "full_name", "default_branch")
     m = table(spark, d, "finding_matches").where("start_line IS NOT NULL AND end_line IS NOT NULL").join(r, "repo_id")
     link = F.concat("full_name", F.lit("/blob/"), "default_branch", F.lit("/"), "file_path", F.lit("#L"), F.col("start_line").cast("string"), F.lit("-L"), F.greatest("start_line", "end_line").cast("string"))
     return m.select("match_id", link.alias("link"), F.regexp_extract("full_name", "^([^/]+)/", 1).alias("owner")).distinct()

@@ -81,7 +81,7 @@ def gated(spark, d):
 @query("st2_deleted_with_parent", """
 SELECT r.repo_id, count(f.snapshot_id) AS orphaned FROM repositories r LEFT JOIN source_files f USING (repo_id) WHERE r.deleted_at IS NOT NULL GROUP BY 1""")
 def deleted(spark, d):
-    r = F.broadcast(table(spark, d, "repositories").where("deleted_at IS NOT NULL").select("repo_id"))
+    r = table(spark, d, "repositories").where("deleted_at IS NOT NULL").select("repo_id")
     n = table(spark, d, "source_files").join(r, "repo_id", "left_semi").groupBy("repo_id").agg(F.count(F.lit(1)).alias("orphaned"))
     return table(spark, d, "repositories").where("deleted_at IS NOT NULL").select("repo_id").join(n, "repo_id", "left").select("repo_id", F.coalesce("orphaned", F.lit(0)).alias("orphaned"))
 

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import parsing
+from ..operators import graph, parsing
+from .graph import IMPORTS
 from .registry import query, quoted, table
 
 
@@ -86,9 +87,15 @@ CASES = " ".join(f"WHEN contains(lower(file_path), '{s}') THEN {k}" for k, (_, s
 NAMES = "[" + ", ".join(f"'{n}'" for n, _ in parsing.FRAMEWORKS) + "]"
 
 
-@query("pl14_frameworks", f"WITH b AS (SELECT repo_id, min(CASE {CASES} END) AS k FROM source_files GROUP BY 1) SELECT repo_id, coalesce(({NAMES})[k + 1], 'unknown') AS framework FROM b")
+BY_IMPORT = " ".join(f"WHEN contains(lower(module), '{s}') THEN {k}" for k, (_, s) in enumerate(parsing.IMPORTED))
+IMPORTED = "[" + ", ".join(f"'{n}'" for n, _ in parsing.IMPORTED) + "]"
+
+
+@query("pl14_frameworks", f"WITH {IMPORTS}, b AS (SELECT repo_id, min(CASE {CASES} END) AS k FROM source_files GROUP BY 1), i2 AS (SELECT repo_id, min(CASE {BY_IMPORT} END) AS i FROM imp GROUP BY 1) SELECT b.repo_id, coalesce(({NAMES})[k + 1], ({IMPORTED})[i + 1], 'unknown') AS framework FROM b LEFT JOIN i2 USING (repo_id)")
 def frameworks(spark, d):
-    return parsing.frameworks(table(spark, d, "source_files"))
+    """By paths, else by imported modules."""
+    f = table(spark, d, "source_files")
+    return parsing.frameworks(f, graph.imports(f))
 
 
 @query("pl15_chunks", """

@@ -23,22 +23,25 @@ def findings_listing(spark, d):
     """Findings of live repositories with the number of instances that lie in a loaded file (zero if none)."""
     m = table(spark, d, "finding_matches").select("match_id", "scan_run_id", "repo_id", "rule_id", "category", "severity", "snapshot_id").distinct()
     f = table(spark, d, "source_files").select("snapshot_id", "scan_run_id", F.lit(1).alias("here"))
-    own = m.join(F.broadcast(live(spark, d).select("repo_id", "full_name")), "repo_id")
+    own = m.join(live(spark, d).select("repo_id", "full_name"), "repo_id")
     return own.join(f, ["snapshot_id", "scan_run_id"], "left").groupBy("repo_id", "full_name", "rule_id", "category").agg(F.count("here").alias("instances"))
 
 
 @query("j2_owned_parse_results", """
 SELECT r.owner_name, count(*) AS records, sum(p.symbol_count)::BIGINT AS symbol_count, count(*) FILTER (len(p.errors) > 0) AS with_errors FROM parse_results p JOIN repositories r USING (repo_id) WHERE r.deleted_at IS NULL GROUP BY 1""")
 def owned(spark, d):
-    p = table(spark, d, "parse_results").join(F.broadcast(live(spark, d).select("repo_id", "owner_name")), "repo_id")
+    p = table(spark, d, "parse_results").join(live(spark, d).select("repo_id", "owner_name"), "repo_id")
     return p.groupBy("owner_name").agg(F.count(F.lit(1)).alias("records"), F.sum("symbol_count").alias("symbol_count"), F.count_if(F.size("errors") > 0).alias("with_errors"))
 
 
 @query("j3_finding_details", """
-SELECT repo_id, rule_id, array_to_string(list_sort(list(DISTINCT file_path || ':' || start_line)), ', ') AS places FROM finding_matches WHERE start_line IS NOT NULL GROUP BY 1, 2""")
+WITH p AS (SELECT DISTINCT repo_id, rule_id, file_path, start_line FROM finding_matches WHERE start_line IS NOT NULL AND file_path IS NOT NULL), n AS (SELECT repo_id, rule_id, count(*) AS places FROM p GROUP BY 1, 2)
+SELECT p.repo_id, p.rule_id, n.places, p.file_path, p.start_line FROM p JOIN n ON n.repo_id IS NOT DISTINCT FROM p.repo_id AND n.rule_id IS NOT DISTINCT FROM p.rule_id""")
 def details(spark, d):
-    m = table(spark, d, "finding_matches").where("start_line IS NOT NULL AND file_path IS NOT NULL")
-    return m.groupBy("repo_id", "rule_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "file_path", F.col("start_line").cast("string")))), ", ").alias("places"))
+    """Places of each rule in a repository, one row each beside their number, so no rule gathers all of its places in one row."""
+    p = table(spark, d, "finding_matches").where("start_line IS NOT NULL AND file_path IS NOT NULL").select("repo_id", "rule_id", "file_path", "start_line").distinct()
+    n = p.groupBy(F.col("repo_id").alias("r"), F.col("rule_id").alias("k")).agg(F.count(F.lit(1)).alias("places"))
+    return p.join(n, F.col("repo_id").eqNullSafe(F.col("r")) & F.col("rule_id").eqNullSafe(F.col("k"))).select("repo_id", "rule_id", "places", "file_path", "start_line")
 
 
 @query("j4_findings_in_failed_files", """
