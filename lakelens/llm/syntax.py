@@ -14,6 +14,9 @@ Text nested deeper than the parser follows is judged by its brackets alone.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,8 @@ def _checker():
             return
         p = parse(ext, content)
         if p.errors:
-            lines = [(p.line(at), what) for at, what in p.errors]
+            starts, breaks = p.positions()[0], [m.start() for m in re.finditer("\n", p.text)]
+            lines = [(bisect_left(breaks, starts[at]) + 1, what) for at, what in p.errors]
             yield snapshot_id, repo_id, path, language, lines[0][0], lines[0][1], len(lines), [f"{n}: {what}" for n, what in lines]
 
     return one
