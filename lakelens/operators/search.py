@@ -204,6 +204,24 @@ def vector_search(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFram
     return in_blocks(queries.select("query_id", "vector"), items.select("item_id", "vector"), prepare, k)
 
 
+def search_with_fallback(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """queries(query_id, text, vector), items(item_id, name, text, vector): by vectors where the query and some item have one, else by keywords. Items without a vector are no hits of the former."""
+    embedded = items.where("vector IS NOT NULL")
+    if embedded.isEmpty():
+        return keyword_search(queries, items, k)
+    first = vector_search(queries.where("vector IS NOT NULL"), embedded, k)
+    return first.unionByName(keyword_search(queries.where("vector IS NULL"), items, k))
+
+
+def stored_search(queries: DataFrame, path: str, k: int = 10, repo_id: str | None = None) -> DataFrame:
+    """The k vectors of a stored table (point_id, repo_id, vector) most like each query; a repository reads its own partition only."""
+    stored = queries.sparkSession.read.parquet(path)
+    if repo_id is not None:
+        stored = stored.where(F.col("repo_id") == repo_id)
+    numbered = stored.select("point_id", "vector", F.xxhash64("point_id").alias("item_id"))
+    return vector_search(queries, numbered, k).join(numbered.select("item_id", "point_id"), "item_id").select("query_id", "point_id", "score", "place")
+
+
 def hybrid(first: DataFrame, second: DataFrame, k: int = 15) -> DataFrame:
     """Union of two hit lists (query_id, item_id, score, spot); the first wins where both have a spot; ranked anew and cut."""
     both = first.select("query_id", "spot", "score", "item_id", F.lit(0).alias("list")).unionAll(second.select("query_id", "spot", "score", "item_id", F.lit(1).alias("list")))

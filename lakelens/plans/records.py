@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import findings, rules
+from ..operators import findings, graph, rules
 from ..streaming import windows
 from .findings import M, unique
+from .graph import EDGES
 from .registry import query, quoted, table
 from .rules import SCAN
 
@@ -154,3 +155,29 @@ def marked_deleted(spark, d):
     """Repositories after the end of some installations."""
     r = table(spark, d, "repositories")
     return windows.without_deleted(r, gated_hooks(spark, d), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")).select("repo_id", "deleted_at")
+
+
+@query("st11_newest_analyses", "SELECT qa_id, repo_id, created_at FROM qa_results ORDER BY created_at DESC, qa_id LIMIT 10")
+def newest_analyses(spark, d):
+    """What a cache of ten analyses holds that drops the oldest: the bound is the feature."""
+    return table(spark, d, "qa_results").select("qa_id", "repo_id", "created_at").orderBy(F.desc("created_at"), "qa_id").limit(10)
+
+
+@query("sc8_expired", "WITH n AS (SELECT repo_id, max(ingested_at) AS newest FROM source_files GROUP BY 1), t AS (SELECT max(newest) AS as_of FROM n) SELECT repo_id, newest FROM n, t WHERE newest < as_of - INTERVAL 1 DAY")
+def expired(spark, d):
+    """Repositories that nothing was loaded for within a day of the last load of all."""
+    n = table(spark, d, "source_files").groupBy("repo_id").agg(F.max("ingested_at").alias("newest"))
+    as_of = F.max("newest").over(Window.partitionBy())  # over repositories, which are few
+    return n.withColumn("as_of", as_of).where(F.col("newest") < F.col("as_of") - F.expr("INTERVAL 1 DAY")).select("repo_id", "newest")
+
+
+@query("g4_partial_callers", f"""
+WITH {EDGES}, q AS (SELECT DISTINCT repo_id, callee AS wanted FROM edges UNION SELECT DISTINCT repo_id, file_path AS wanted FROM symbols WHERE file_path IS NOT NULL),
+x AS (SELECT q.repo_id, wanted, e.caller, true AS is_exact FROM q JOIN edges e ON e.repo_id = q.repo_id AND e.callee = q.wanted),
+p AS (SELECT q.repo_id, wanted, e.caller FROM q JOIN edges e ON e.repo_id = q.repo_id AND contains(e.callee, q.wanted) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.repo_id = q.repo_id AND x.wanted = q.wanted))
+SELECT repo_id, wanted, count(DISTINCT caller) AS callers, is_exact FROM (SELECT * FROM x UNION ALL SELECT repo_id, wanted, caller, false FROM p) GROUP BY ALL""")
+def partial_callers(spark, d):
+    """Callers of symbols by their full name, and for names that nobody calls, of symbols that begin with them: here the names are symbols and paths."""
+    e = graph.call_edges(table(spark, d, "symbols"))
+    wanted = e.select("repo_id", F.col("callee").alias("wanted")).union(table(spark, d, "symbols").where("file_path IS NOT NULL").select("repo_id", "file_path")).distinct()
+    return graph.callers_of(e, wanted).groupBy("repo_id", "wanted", "is_exact").agg(F.countDistinct("caller").alias("callers"))

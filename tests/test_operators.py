@@ -237,3 +237,22 @@ def test_keywords_of_all_questions(spark, tmp_path):
     got = {r.qa_id: set(r.keywords.split(" | ")) for r in registry.queries()["f14_keywords"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 4} and got[4] == {"parse"}
     assert "loadRows" in got[1] and {"load_rows", "load", "rows"} <= got[2]
+
+
+def test_fallback_and_stored_vectors(spark, tmp_path):
+    schema = "item_id long, name string, text string, vector array<double>"
+    items = spark.createDataFrame([(1, "a", "load rows", [1.0, 0.0]), (2, "b", "scan", [0.0, 1.0]), (3, "c", "load", None)], schema)
+    asked = spark.createDataFrame([(1, "load", [1.0, 0.1]), (2, "load", None)], "query_id long, text string, vector array<double>")
+    got = {(r.query_id, r.place): r.item_id for r in search.search_with_fallback(asked, items, 2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 1, (2, 2): 3}
+    assert {r.item_id for r in search.search_with_fallback(asked, items.withColumn("vector", F.lit(None).cast("array<double>")), 2).where("query_id = 1").collect()} == {1, 3}
+    items.where("vector IS NOT NULL").select(F.col("name").alias("point_id"), F.when(F.col("item_id") == 1, "r1").otherwise("r2").alias("repo_id"), "vector").write.partitionBy("repo_id").parquet(str(tmp_path / "p"))
+    assert [r.point_id for r in search.stored_search(asked.where("query_id = 1").select("query_id", "vector"), str(tmp_path / "p")).orderBy("place").collect()] == ["a", "b"]
+    assert [r.point_id for r in search.stored_search(asked.where("query_id = 1").select("query_id", "vector"), str(tmp_path / "p"), repo_id="r2").collect()] == ["b"]
+
+
+def test_callers_of_parts_of_names(spark):
+    e = spark.createDataFrame([("r", "main", "pkg.load_rows"), ("r", "cli", "pkg.load"), ("r", "cli", "x")], "repo_id string, caller string, callee string")
+    wanted = spark.createDataFrame([("r", w) for w in ("pkg.load", "load_rows", "pkg", "x", "", "none")], "repo_id string, wanted string")
+    got = {(r.wanted, r.caller, r.is_exact) for r in graph.callers_of(e, wanted).collect()}
+    assert got == {("pkg.load", "cli", True), ("load_rows", "main", False), ("pkg", "main", False), ("pkg", "cli", False), ("x", "cli", True)}
