@@ -83,6 +83,12 @@ def bare(text: str) -> str:
     return NO_CODE.sub(" ", text)
 
 
+def headed(text: str) -> tuple[str, str]:
+    """The head of a file (what stands before its code) and the rest."""
+    head = HEAD.match(text).group()
+    return head, text[len(head) :]
+
+
 def fingerprint(code: str) -> str | None:
     """Of bare code long enough to be told from chance, white space aside."""
     code = "".join(code.split())
@@ -148,7 +154,7 @@ def _partial(batches):
             ext = extension(path)
             if not content or not content.strip() or ext not in CODE:
                 continue
-            code = bare(content)
+            code = bare(headed(content)[1])
             names = names_of(code)
             if not packed(code):
                 own = seen.setdefault(ext, Counter())
@@ -228,11 +234,15 @@ def template_share(names: set[str]) -> tuple[float, float]:
 
 def judge(path: str | None, text: str | None, models: dict[str, dict[str, float]], known: dict[str, dict] | None = None) -> tuple[bool, bool, bool, bool, float, float]:
     """generated, minified, data, foreign by banner or place, cross-entropy, diversity."""
+    return evidence(path, text, models, known)[0]
+
+
+def evidence(path: str | None, text: str | None, models: dict[str, dict[str, float]], known: dict[str, dict] | None = None) -> tuple[tuple[bool, bool, bool, bool, float, float], str, set[str]]:
+    """What `judge` says, with the bare code behind the head and its names."""
     path, ext = path or "", extension(path)
     if not text or not text.strip():
-        return False, False, False, False, 0.0, 1.0
-    head = HEAD.match(text).group()
-    code = text[len(head) :]
+        return (False, False, False, False, 0.0, 1.0), "", set()
+    head, code = headed(text)
     stripped = bare(code) if ext in CODE else code
     words = [w for w in IDENT.findall(stripped) if w.isascii()] if ext in CODE else []
     names = set(words)
@@ -263,7 +273,7 @@ def judge(path: str | None, text: str | None, models: dict[str, dict[str, float]
         punct = sum(c in " \t\r\n,[](){};:=>+." for c in LITERAL.sub("", code))
         data = held + punct >= 0.9 * (size - named) and (len(literals) >= 30 or held >= 800) and (held >= 0.35 * size or len(literals) >= 60)
     foreign = bool(THIRD.search(path)) or any(RELEASE.search(line_at(head, m.end())) for m in COPIED.finditer(head))
-    return generated, minified, data, foreign, bits, diversity
+    return (generated, minified, data, foreign, bits, diversity), stripped, names
 
 
 def line_at(text: str, at: int) -> str:
@@ -276,10 +286,10 @@ def _judge(models):
         m, known = models.value, {}
 
         def one(snapshot_id, repo_id, path, content):
-            generated, minified, data, foreign, bits, diversity = judge(path, content, m, known)
+            (generated, minified, data, foreign, bits, diversity), code, names = evidence(path, content, m, known)
             ext = extension(path)
-            code = bare(content) if content and ext in CODE else None
-            yield snapshot_id, repo_id, path, ext, styles_of(names_of(code)) if code else None, fingerprint(code) if code else None, generated, minified, data, foreign, bits, diversity
+            own = bool(code) and ext in CODE
+            yield snapshot_id, repo_id, path, ext, styles_of(names) if own else None, fingerprint(code) if own else None, generated, minified, data, foreign, bits, diversity
 
         return one
 
