@@ -88,14 +88,18 @@ def callers_of(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(repo_id, wanted) -> callers of the symbol of that name; where nobody calls it, of every symbol whose name holds it.
 
     The fallback goes through runs of up to eight characters: a callee that holds a name holds the name's first
-    eight, or the whole of a shorter one, so only pairs that share such a run meet. Empty names find nothing.
+    eight, or the whole of a shorter one, so only pairs that share such a run meet. Of each callee those runs are
+    made whose length the names of its repository have. They are many more than the callees, which the optimizer
+    does not foresee, so their join is told to sort instead of sending them to every task. Empty names find nothing.
     """
     exact = wanted.join(edges.select("repo_id", F.col("callee").alias("wanted"), "caller"), ["repo_id", "wanted"]).withColumn("is_exact", F.lit(True))
     rest = wanted.join(edges.select("repo_id", F.col("callee").alias("wanted")).distinct(), ["repo_id", "wanted"], "left_anti").where("wanted <> ''")
     probes = rest.withColumn("run", F.left("wanted", F.lit(8)))
-    places = F.sequence(F.lit(1), F.length("callee"))
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.transform(places, lambda k: F.substring("callee", k, n)))))
-    held = edges.select("repo_id", "callee").distinct().where("callee <> ''").select("repo_id", "callee", F.explode(runs).alias("run"))
+    lengths = probes.groupBy("repo_id").agg(F.collect_set(F.length("run")).alias("lengths"))
+    fit = F.filter("lengths", lambda n: n <= F.length("callee"))
+    runs = F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length("callee") - n + 1), lambda k: F.substring("callee", k, n)))))
+    called = edges.select("repo_id", "callee").distinct().where("callee <> ''")
+    held = called.join(lengths, "repo_id").select("repo_id", "callee", F.explode(runs).alias("run")).hint("merge")
     pairs = probes.join(held, ["repo_id", "run"]).where(F.col("callee").contains(F.col("wanted"))).select("repo_id", "wanted", "callee")
     partial = pairs.join(edges, ["repo_id", "callee"]).select("repo_id", "wanted", "caller").distinct().withColumn("is_exact", F.lit(False))
     return exact.unionByName(partial)
