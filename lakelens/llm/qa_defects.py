@@ -16,9 +16,10 @@ Openings are made distinct before their words are counted; the table of known wo
 mean number of words) and broadcast. Only openings set apart are clustered: signatures exist once
 per distinct opening; a bucket is linked to its smallest member first, and only members that are
 not connected by then are compared with each other, so every similar pair of a bucket ends in one
-cluster; prompts are made distinct per cluster before they are counted. The join back to the pairs
-is salted, so an opening that a third of all pairs share is no hot task. The words of revealed
-templates come from at most TEMPLATES of them, those of the smallest hash.
+cluster; prompts are made distinct per cluster before they are counted. The words of all revealed
+templates are a table, joined with the words of the answers set apart, each answer once; neither is
+gathered in one place. The join back to the pairs is salted, so an answer that a third of all pairs
+share is no hot task.
 
 Defined cases: a null or blank answer is empty; a null question switches the copy and language
 checks off; answers of few words have no language; repeated rows are labelled alike and
@@ -43,7 +44,7 @@ from .rows import kept, map_rows
 PERMUTATIONS, BAND_ROWS, SHINGLE, SIMILAR, RECURS, SALTS = 64, 4, 5, 0.8, 3, 16
 #: A word is known from this share of all distinct openings on (LEAST of them at least); a sentence of FEW words or more is set apart if this share of its words is not known.
 FREQUENT, LEAST, FEW, APART = 1 / 2000, 8, 3, 0.4
-TEMPLATES, SHARED = 2000, 0.7
+SHARED = 0.7
 PRIME = (1 << 61) - 1
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint64)
@@ -388,27 +389,33 @@ def templates(apart: DataFrame) -> DataFrame:
     return kept(openings.join(heads.join(recurring, "head", "left_semi"), "key", "left_semi"))
 
 
-def _labels(shared: frozenset[str]):
+def _foreign(known):
     def make():
-        def one(qa_id, first, second, opening, words, template):
-            refusal = opening is not None and (template or shared and sum(w in shared for w in words) >= SHARED * len(words))
-            defect = first or ("refusal" if refusal else second)
-            if defect:
-                yield qa_id, defect
+        words = known.value
+
+        def one(opening):
+            return ((u,) for u in units(opening) if u not in words)
 
         return one
 
     return make
 
 
+def refusals(apart: DataFrame, found: DataFrame, known) -> DataFrame:
+    """apart(key, opening, words), each once -> keys of those that begin with a template found or share their words with all templates. Words are many more than answers, which the optimizer does not foresee: their join is told to sort."""
+    shared = map_rows(found.select("opening"), _foreign(known), "word string").distinct()
+    spread = apart.select("key", F.size("words").alias("n"), F.explode("words").alias("word")).hint("merge")
+    worded = spread.join(shared, "word").groupBy("key", "n").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= SHARED * F.col("n"))
+    return apart.join(found, "opening", "left_semi").select("key").unionAll(worded.select("key")).distinct()
+
+
 def defects(pairs: DataFrame) -> DataFrame:
     """qa_id and defect of each defective pair."""
-    known = known_words(pairs)
-    local = kept(map_rows(pairs.select("qa_id", "question", "answer_text"), _local(pairs.sparkSession.sparkContext.broadcast(known)), LOCAL))
+    known = pairs.sparkSession.sparkContext.broadcast(known_words(pairs))
+    local = kept(map_rows(pairs.select("qa_id", "question", "answer_text"), _local(known), LOCAL))
     found = templates(local.where("opening IS NOT NULL"))
-    some = found.orderBy("key").limit(TEMPLATES).collect()
-    shared = frozenset(u for r in some for u in units(r["opening"]) if u not in known)
-    salted = found.select("opening", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("template"))
-    both = local.withColumn("salt", F.pmod(F.xxhash64("qa_id"), F.lit(SALTS)).cast("int")).join(salted, ["opening", "salt"], "left")
-    labels = map_rows(both.select("qa_id", "first", "second", "opening", "words", "template"), _labels(shared), "qa_id long, defect string")
-    return labels.distinct()
+    keyed = local.withColumn("key", F.when(F.col("opening").isNotNull(), F.sha2(F.concat_ws("\n", "opening", "words"), 256)))
+    apart = keyed.where("key IS NOT NULL").select("key", "opening", "words").distinct()
+    salted = refusals(apart, found, known).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit("refusal").alias("refusal")).hint("merge")
+    both = keyed.select("qa_id", "first", "second", "key", F.pmod(F.xxhash64("qa_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["key", "salt"], "left")
+    return both.select("qa_id", F.coalesce("first", "refusal", "second").alias("defect")).where("defect IS NOT NULL").distinct()

@@ -47,6 +47,21 @@ def test_one_prompt_many_times_is_no_template(spark):
     assert not [r for r in got if r.defect == "refusal"]
 
 
+def test_words_of_all_templates_count_however_many_there_are(spark):
+    """2,100 templates, each asked for thrice, and of each one phrasing met once that shares four of its five words."""
+
+    def word(first, k):
+        return first + "".join(chr(97 + k // 26**n % 26) for n in range(3))
+
+    rows = []
+    for k in range(2100):
+        own = [word(c, k) for c in "klmnp"]
+        for answer in (*[" ".join(own)] * 3, " ".join([*own[3::-1], word("q", k)]), " ".join([*own[2::-1], word("q", k), word("r", k)])):
+            rows.append((len(rows), f"Why does handler {word('h', len(rows))} fail?", answer + "."))
+    got = {r.qa_id: r.defect for r in Q.defects(spark.createDataFrame(rows, "qa_id long, question string, answer_text string")).collect()}
+    assert got == {k: "refusal" for k in range(len(rows)) if k % 5 < 4}  # the last of five shares three words only
+
+
 def test_clusters_keep_the_links_of_all_pairs(spark):
     rng = random.Random(3)
     words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(10)]
